@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .class_lm import class_lm_scores
 from .exact_dedup import exact_dedup
+from .language_id import fit, identify, training_row
 from .line_dedup import line_dedup
+from .packing import pack_documents
 from .sharding import byte_shards
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,6 +30,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit(docs.filter(training_row()), tokenizer_file("piece_bpe_32k.model"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
+
+
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores(_documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_documents(spark, sf_dir), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("__lq_lines").alias("n_lines"), F.col("__lq_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -66,8 +85,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM normed WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_line_dedup": op5_line_dedup, "op7_sharding": op7_sharding, "op8_exact_dedup": op8_exact_dedup}
+    found = (op2_language_id, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
