@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .class_lm import class_lm_scores
+from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
 from .language_id import fit, identify, training_row
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import byte_shards
 
@@ -36,6 +38,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8, width=5)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = fit(docs.filter(training_row()), tokenizer_file("piece_bpe_32k.model"))
@@ -89,8 +95,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), threshold=0.8, width=5).select("doc_id", "class_id", "class_size", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing)
+    found = (op1_decontamination, op2_language_id, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
     return {f.__name__: f for f in found}
 
 
