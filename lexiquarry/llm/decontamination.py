@@ -43,7 +43,7 @@ class ItemIndex:
     taken off. A passage is retrieved for an item at a score of 1 or more, and none that could pass
     verification is lost."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8, width: int = 5, k1: float = 1.2, b: float = 0.75, block: int = 16, groups: int = 8):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8, width: int = 5, k1: float = 1.2, b: float = 0.75, block: int = 16):
         self.threshold, self.width = threshold, width
         parsed = []
         for item_id, text in items:
@@ -72,13 +72,27 @@ class ItemIndex:
                 postings[w].append((k, x / least + 1e-12))
         self.terms = {w: t for t, w in enumerate(sorted(postings))}
         self.lists, self.blocks = [], []
-        self.bound = np.zeros((len(self.terms) + 1, groups), dtype=np.float32)  # by term and group of items
-        size = max(1, math.ceil(len(parsed) / groups))
-        for w, t in self.terms.items():
+        for w in self.terms:
             ids, weights = [p[0] for p in postings[w]], [p[1] for p in postings[w]]
             self.lists.append((ids, weights))
             self.blocks.append([(ids[min(i + block, len(ids)) - 1], max(weights[i : i + block])) for i in range(0, len(ids), block)])
-            np.maximum.at(self.bound[t], np.array(ids) // size, np.array(weights, np.float32) * np.float32(1.0001))
+        # an item's rarest words, so many that the others together score under a half
+        self.needed, needed = np.zeros(len(parsed)), defaultdict(list)
+        by_item: list[list[tuple[int, str, float]]] = [[] for _ in parsed]
+        for w, listed in postings.items():
+            for k, x in listed:
+                by_item[k].append((df[w], w, x))
+        for k, words in enumerate(by_item):
+            rest = sum(x for _, _, x in words)
+            for _, w, x in sorted(words):
+                if rest < 0.5:
+                    break
+                rest -= x
+                needed[self.terms[w]].append((k, x))
+            self.needed[k] = 1.0 - rest - 1e-9
+        self.rare_cut = np.concatenate([[0], np.cumsum([len(needed[t]) for t in range(len(self.terms))])]).astype(np.int64)
+        self.rare_item = np.array([k for t in range(len(self.terms)) for k, _ in needed[t]], dtype=np.int64)
+        self.rare_weight = np.array([x for t in range(len(self.terms)) for _, x in needed[t]])
         self.most = [max(w for _, w in b) for b in self.blocks]
         self.block = block
 
@@ -152,14 +166,18 @@ class ItemIndex:
         pairs = np.unique(chunk[known] * n_terms + flat[known])
         chunk, term = pairs // max(1, n_terms), pairs % max(1, n_terms)
         cut = np.searchsorted(chunk, np.arange(first[-1] + 1))
-        upper = np.zeros((first[-1] + 1, self.bound.shape[1]), dtype=np.float32)
-        full = np.flatnonzero(np.diff(cut))
-        if len(full):
-            upper[full] = np.add.reduceat(self.bound[term], cut[full], axis=0)
         doc_of = np.repeat(np.arange(len(texts)), chunks)
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
-        both = upper[:-1] + np.where(follows[:, None], upper[1:], 0)
-        for c in np.flatnonzero((both.max(axis=1) >= 1.0)).tolist():
+        # scores of rare words alone: a passage can reach an item only if they make up what the others can't
+        width = self.rare_cut[term + 1] - self.rare_cut[term]
+        place = np.repeat(self.rare_cut[term] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        start = np.repeat(chunk, width)
+        back = (start > 0) & follows[np.maximum(start - 1, 0)]
+        keys = np.concatenate([start, start[back] - 1]) * max(1, len(self.items)) + np.concatenate([self.rare_item[place], self.rare_item[place][back]])
+        reached, at = np.unique(keys, return_inverse=True)
+        score = np.bincount(at, weights=np.concatenate([self.rare_weight[place], self.rare_weight[place][back]]), minlength=len(reached))
+        able = score >= self.needed[reached % max(1, len(self.items))] if len(reached) else np.zeros(0, bool)
+        for c in np.unique(reached[able] // max(1, len(self.items))).tolist():
             d = int(doc_of[c])
             near = np.unique(term[cut[c] : cut[c + 1 + bool(follows[c])]]).tolist()
             hits = self.retrieve(near)
