@@ -11,8 +11,8 @@ from .shared import SPACE, Scratch, join_facts, lower_ascii, row_key
 
 
 class RunStore:
-    """Sorted runs (key, n): how many documents of some batches hold a line. Runs of a level are merged
-    into one of the next level as soon as there are `fanout` of them."""
+    """Sorted runs (key, n, first): how many documents of some batches hold a line, and the first of them by
+    batch and id. Runs of a level are merged into one of the next as soon as there are `fanout` of them."""
 
     def __init__(self, scratch: Scratch, saturated: int, fanout: int):
         self.scratch, self.saturated, self.fanout, self.levels, self.made = scratch, saturated, fanout, [[]], 0
@@ -20,6 +20,10 @@ class RunStore:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
 
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
     def _put(self, level: int, run: DataFrame) -> None:
         self.made += 1
         name = f"run{self.made}"
@@ -36,15 +40,15 @@ class RunStore:
             old, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self._put(level + 1, reduce(DataFrame.unionByName, [run for _, run in old]).groupBy("key").agg(F.sum("n").alias("n")))
+            self._put(level + 1, self._merged([run for _, run in old]))
             self.scratch.drop(*(name for name, _ in old))
             level += 1
 
     def frequent(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.runs()).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.saturated)
+        return self._merged(self.runs()).filter(F.col("n") >= self.saturated)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns, the text without its repeated lines, and __lq_lines and __lq_dropped (line counts).
 
     Lines end at \\n; a null or empty text is one empty line and comes back empty. A line's key is the
@@ -59,16 +63,18 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     text = F.coalesce(F.col(text_col), F.lit(""))
     r1, r2 = row_key(F.col(id_col), F.col(text_col))
     keys = F.transform(F.split(lower_ascii(text), "\n", -1), lambda x: F.when(F.char_length(F.btrim(x, F.lit(SPACE))) >= min_chars, F.md5(F.btrim(x, F.lit(SPACE)))).otherwise(F.lit("")))
-    hashed = scratch.write(docs.select(r1.alias("r1"), r2.alias("r2"), keys.alias("keys")), "keys")
-    seen = hashed.select(F.pmod("r2", F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).filter("key <> ''")
-    counted = scratch.write(seen.groupBy("batch", F.unhex("key").alias("key")).agg(F.count("*").alias("n")), "counted", "batch")
+    hashed = scratch.write(docs.select(F.col(id_col).alias("id"), r1.alias("r1"), r2.alias("r2"), keys.alias("keys")), "keys")
+    seen = hashed.select("id", F.pmod("r2", F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct("keys")).alias("key")).filter("key <> ''")
+    counted = scratch.write(seen.groupBy("batch", F.unhex("key").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("id")), "counted", "batch")
     store = RunStore(scratch, min_docs, fanout)
     for k in range(batches):
-        store.add(counted.filter(F.col("batch") == k).select("key", "n"))
+        store.add(counted.filter(F.col("batch") == k).select("key", "n", F.struct("batch", "id").alias("first")))
     frequent = scratch.write(store.frequent(), "frequent")
     total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lines = hashed.select("r1", "r2", F.posexplode("keys").alias("pos", "hex")).filter("hex <> ''").select("r1", "r2", "pos", F.unhex("hex").alias("key"))
+    lines = hashed.select("id", "r1", "r2", F.posexplode("keys").alias("pos", "hex")).filter("hex <> ''").select("id", "r1", "r2", "pos", F.unhex("hex").alias("key"))
     hits = join_facts(lines, frequent, ["key"], "n", total)
+    if keep_first:
+        hits = hits.filter(~F.col("first.id").eqNullSafe(F.col("id")))
     gone = scratch.write(hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("pos")).alias("__lq_gone")).withColumnsRenamed({"r1": "__lq_r1", "r2": "__lq_r2"}), "gone")
     scratch.drop("keys", "counted")
     lost = F.coalesce(F.col("__lq_gone"), F.array().cast("array<int>"))

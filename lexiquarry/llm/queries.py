@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .class_lm import class_lm_scores
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_pages
 from .language_id import fit, identify, training_row
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
@@ -48,6 +51,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm_scores(_documents(spark, sf_dir))
 
@@ -100,9 +107,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_language_id, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
-    return {f.__name__: f for f in found}
+    found = (op1_decontamination, op2_language_id, op3_html_extraction, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL, "op8_exact_dedup": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
