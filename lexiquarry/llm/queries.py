@@ -18,6 +18,7 @@ from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import byte_shards
+from .substring_dedup import substring_dedup
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -74,6 +75,10 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
 FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id"""
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir), width=50).drop("kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(_documents(spark, sf_dir), shards=40, overhead=16)
 
@@ -107,7 +112,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_language_id, op3_html_extraction, op4_class_lm, op5_line_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
+    found = (op1_decontamination, op2_language_id, op3_html_extraction, op4_class_lm, op5_line_dedup, op6_suffix_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
