@@ -174,6 +174,83 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _shingle_lists(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """weighted_shingles of any number of texts."""
+    parts = []
+    for lo, hi in _chunks(texts):
+        docs, shingles, weights = weighted_shingles(*word_hashes(texts[lo:hi]), width)
+        parts.append((docs + lo, shingles, weights))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def block_links(queries: list[str], members: list[str], threshold: float, width: int) -> Iterator[tuple[int, int]]:
+    """All (query, member) with a probability Jaccard of at least the threshold. Common shingles are counted
+    for all pairs at once; texts whose shingles all count once have their set Jaccard, and of the others
+    those are compared whose common shingles make up enough of either text."""
+    n, m = len(queries), len(members)
+    docs, shingles, weights = _shingle_lists([*queries, *members], width)
+    ids, at = np.unique(shingles, return_inverse=True)
+    is_query = docs < n
+    on_both = np.zeros(len(ids), dtype=np.int8)
+    on_both[at[is_query]] |= 1
+    on_both[at[~is_query]] |= 2
+    place = np.cumsum(on_both == 3) - 1
+    size = np.bincount(docs, minlength=n + m).astype(np.float64)
+    mass = np.bincount(docs, weights=weights, minlength=n + m)
+    common, left, right = (np.zeros((n, m), dtype=np.float32) for _ in range(3))
+    shared = on_both[at] == 3
+    docs_s, at_s, weights_s = docs[shared], place[at[shared]], weights[shared]
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        one, heavy = (np.zeros((n + m, 4096), dtype=np.float32) for _ in range(2))
+        here = (at_s >= lo) & (at_s < lo + 4096)
+        one[docs_s[here], at_s[here] - lo] = 1
+        heavy[docs_s[here], at_s[here] - lo] = weights_s[here]
+        common += one[:n] @ one[n:].T
+        left += heavy[:n] @ one[n:].T
+        right += one[:n] @ heavy[n:].T
+    simple = mass == size
+    jaccard = common / np.maximum(size[:n, None] + size[None, n:] - common, 1)
+    both_simple = simple[:n, None] & simple[None, n:]
+    for i, j in np.argwhere(both_simple & (jaccard >= threshold - 1e-6)).tolist():
+        yield i, j
+    able = ~both_simple & (left >= (threshold - 1e-6) * mass[:n, None]) & (right >= (threshold - 1e-6) * mass[None, n:])
+    cut = np.searchsorted(docs, np.arange(n + m + 1))
+    part = lambda k: (shingles[cut[k] : cut[k + 1]], weights[cut[k] : cut[k + 1]])
+    for i, j in np.argwhere(able).tolist():
+        if probability_jaccard(part(i), part(n + j)) >= threshold - 1e-12:
+            yield i, j
+
+
+def rest_links(rows: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, width: int, block: int) -> DataFrame:
+    """Links (a, b) between components that leaders left apart, from rows (band, node, label).
+
+    The query set are the nodes outside their band's largest component; each meets all of the band's nodes,
+    in blocks of about `block` nodes, and yields one link for each component that it reaches. No pair becomes
+    a row unless it is such a link."""
+    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("queries"))
+    facts = scratch.write(facts, "rest-facts")
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = join_facts(rows, facts, ["band"], "n", total)
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    own = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), parts(c)).cast("int")
+    asked = known.filter("label <> main").select("band", "node", "label", F.lit(True).alias("asks"), own("queries", 1).alias("i"), F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("j"))
+    met = known.select("band", "node", "label", F.lit(False).alias("asks"), own("n", 2).alias("j"), F.explode(F.sequence(F.lit(0), parts("queries") - 1)).alias("i"))
+    dealt = asked.unionByName(met).join(texts.hint("merge"), "node")
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), dtype=bool)
+        nodes, labels, contents = table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("text").to_pylist()
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        seen = {}
+        for i, j in block_links([contents[k] for k in q], [contents[k] for k in m], threshold, width):
+            if labels[q[i]] != labels[m[j]]:
+                seen.setdefault((int(nodes[q[i]]), int(labels[m[j]])), int(nodes[m[j]]))
+        return pa.table({"a": pa.array([a for a, _ in seen], pa.int64()), "b": pa.array(list(seen.values()), pa.int64())})
+
+    return dealt.select("band", "i", "j", "asks", "node", "label", "text").groupBy("band", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) of every node in a link: the smallest node that can be reached. Labels spread over links
     and jump over each other's labels until none changes; each round is a written table."""
@@ -192,7 +269,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 24, per_band: int = 5, leader_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 24, per_band: int = 5, leader_rounds: int = 1, block: int = 512, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, class_id (the smallest id of its class), class_size, kept (one row of each class),
     and r1, r2 (its row key). A class joins texts linked by a probability Jaccard of word shingles of at
     least `threshold`, and texts with the same words.
@@ -202,8 +279,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     empty table gives an empty result; other columns are ignored.
 
     Texts with the same words become one node first. Nodes sharing a band are compared with the band's
-    leader, in some rounds; bands whose nodes are in one component by then are done, and of the others all
-    pairs across components not yet compared follow, so that no candidate is dropped. With 24 bands of 5
+    leader, in some rounds; bands whose nodes are in one component by then are done. In the others the nodes
+    outside the largest component are compared with all, in blocks, so that no candidate is dropped. With 24 bands of 5
     registers a pair at 0.8 is missed with probability 0.00007."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -232,16 +309,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         if not total:
             break
         open_rows = scratch.write(join_facts(left, several, ["band"], "n", total).select("band", "node", "label", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label")), f"open{k}")
-        if k <= leader_rounds:
-            new = open_rows.filter("label <> leader_label").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            other = open_rows.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            new = open_rows.select("band", F.col("node").alias("a"), "label").join(other.hint("merge"), "band").filter("a < b and label <> label_b").select("a", "b")
+        if k > leader_rounds:
+            links = links.unionByName(scratch.write(rest_links(open_rows.select("band", "node", "label"), texts, scratch, threshold, width, block), f"links{k}"))
+            labels = components(links, scratch, "labels")
+            break
+        new = open_rows.filter("label <> leader_label").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         pairs = scratch.write(new.distinct().join(checked.hint("merge"), ["a", "b"], "left_anti"), f"pairs{k}")
         checked = checked.unionByName(pairs)
         links = links.unionByName(scratch.write(verify(pairs, texts, threshold, width), f"links{k}"))
-    else:
-        labels = components(links, scratch, "labels")
 
     placed = nodes.select("key", "copies", "node", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = scratch.write(placed, "placed")
