@@ -291,8 +291,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     nodes = scratch.write(signed.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "r1", "r2", "bands")).alias("x"), F.count("*").alias("copies")).select("key", "copies", F.col("x.rid").alias("node"), "x.doc_id", "x.r1", "x.r2", "x.bands"), "nodes")
     banded = scratch.write(nodes.select("node", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("band"), "node"), "banded")
     shared = scratch.write(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1"), "shared")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    open_rows = scratch.write(join_facts(banded, shared, ["band"], "n", total).select("band", "node", "leader"), "open0")
+    open_rows = scratch.write(banded.join(shared.hint("merge"), "band").select("band", "node", "leader"), "open0")  # two written tables: a hot band's partition is split at run time
     involved = open_rows.select("node").distinct().join(nodes.select("node", "r1", "r2").hint("merge"), "node")
     texts = scratch.write(rows.select("r1", "r2", "text").join(involved.hint("merge"), ["r1", "r2"]).groupBy("r1", "r2", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
     scratch.drop("banded")
