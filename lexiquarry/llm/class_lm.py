@@ -110,7 +110,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             between[old] -= rw
             between[:, old] -= lw
             between[old, old] -= self_pairs
-            out_sum, in_sum = between.sum(axis=1), between.sum(axis=0)
+            out_sum, in_sum = between.sum(axis=1) + lw, between.sum(axis=0) + rw  # the word's pairs count whichever class it joins
             gain = (f(between + rw) - f(between)).sum(axis=1) + (f(between.T + lw) - f(between.T)).sum(axis=1)
             d = np.diagonal(between)
             gain += f(d + lw + rw + self_pairs) - f(d + rw) - f(d + lw) + f(d)
