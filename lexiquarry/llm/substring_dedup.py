@@ -11,63 +11,125 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _BYTES, _chunks, _powers, mix
-from .shared import Scratch, row_key
+from .near_dedup import _BYTES, _powers, mix
+from .shared import Scratch, shuffle_partitions
 
 LEAST = -(1 << 63)
+#: Bytes of text in a block (a longer document is a block of its own) and hashed at a time; most strings in a run.
+BLOCK, SLICE, RUN = 1 << 22, 1 << 20, 64
 
 
-class Hashed:
-    """Bytes of some texts with rolling hashes, and by position the minimizer of the string that starts there."""
-
-    def __init__(self, texts: list[bytes], width: int, gram: int):
-        self.buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        n = len(self.buf)
-        up, self.down = _powers(n + 1)
-        self.summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.buf] * up[:n])])
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.ends = np.cumsum(sizes)
-        self.firsts = self.ends - sizes
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        if n >= width:
-            grams = mix(self.of(np.arange(n - gram + 1), gram))
-            span, low, step = width - gram + 1, grams, 1
-            while 2 * step <= span:  # minimum of the next 1, 2, 4 ... grams
-                low = np.minimum(low[: len(low) - step], low[step:])
-                step *= 2
-            low = np.minimum(low[: n - width + 1], low[span - step : span - step + n - width + 1])
-            starts = np.flatnonzero(np.arange(n - width + 1) + width <= self.ends[self.doc[: n - width + 1]])
-            self.starts, self.low = starts, low[starts]
-        else:
-            self.starts, self.low = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _slices(ends: np.ndarray, size: int, width: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Parts of the texts that end at `ends`: (first byte, starts of whole strings in the part, end of the part, text of each start)."""
+    for at in range(0, size, SLICE):
+        starts = np.arange(at, min(at + SLICE, size))
+        text = np.searchsorted(ends, starts, "right")
+        whole = starts + width <= ends[text]
+        yield at, starts[whole] - at, min(at + SLICE + width - 1, size), text[whole]
+
+
+class Rolling:
+    """Hashes of any strings of a part."""
+
+    def __init__(self, part: np.ndarray):
+        up, self.down = _powers(len(part) + 1)
+        self.summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[: len(part)])])
 
     def of(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return (self.summed[starts + length] - self.summed[starts]) * self.down[starts]
 
 
-def runs(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of strings with the same minimizer: (minimizer, hash of the run's bytes, text, start, bytes).
+def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of up to RUN strings with one minimizer: (minimizer, hash of the run's bytes, text, start, strings).
     Equal strings have equal minimizers, and runs with equal bytes hold the same strings."""
-    h = Hashed(texts, width, gram)
-    if not len(h.starts):
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-    new = np.concatenate([[True], (h.low[1:] != h.low[:-1]) | (np.diff(h.starts) != 1) | (np.diff(h.doc[h.starts]) != 0)])
-    at = np.flatnonzero(new)
-    first, last = h.starts[at], h.starts[np.append(at[1:], len(h.starts)) - 1]
-    length = last - first + width
-    doc = h.doc[first]
-    return h.low[at], mix(h.of(first, length) ^ mix(length.astype(np.uint64))), doc, first - h.firsts[doc], length
+    found = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3]
+    for at, starts, end, text in _slices(ends, len(buf), width):
+        if not len(starts):
+            continue
+        part = Rolling(buf[at:end])
+        low, span, step = mix(part.of(np.arange(end - at - gram + 1), gram)), width - gram + 1, 1
+        while 2 * step <= span:  # minimum of the next 1, 2, 4 ... grams
+            low = np.minimum(low[: len(low) - step], low[step:])
+            step *= 2
+        low = np.minimum(low[starts], low[starts + span - step])
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(starts) != 1) | (np.diff(text) != 0)]))
+        sizes = np.diff(np.append(new, len(starts)))
+        if sizes.max() > RUN:
+            pieces = -(-sizes // RUN)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            new, sizes = np.repeat(new, pieces) + nth * RUN, np.minimum(np.repeat(sizes, pieces) - nth * RUN, RUN)
+        first = starts[new]
+        found.append((low[new], mix(part.of(first, sizes + width - 1) ^ mix(sizes.astype(np.uint64))), text[new], first + at, sizes))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys (the last one counts first) and whether a group of all but the first key begins there."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[1:]], axis=0)
+    return order, new
+
+
+def _firsts(new: np.ndarray) -> np.ndarray:
+    """For each place of an order, where its group begins."""
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+class Block:
+    """Texts of some documents, in one buffer, and their runs: the different ones in order, and the one of each run."""
+
+    def __init__(self, ids: list[int | None], sizes: list[int], text: bytes, width: int, gram: int):
+        self.buf, self.ends = np.frombuffer(text, dtype=np.uint8), np.cumsum(np.array(sizes, dtype=np.int64))
+        ords = np.array([LEAST if i is None else i for i in ids], dtype=np.int64)
+        self.low, self.content, doc, self.start, self.count = runs(self.buf, self.ends, width, gram)
+        self.ord = ords[doc]
+        order, new = _groups(self.ord, self.content, self.low)
+        self.unique = order[new]
+        self.group = np.empty(len(order), dtype=np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.later = self.ord > self.ord[self.unique][self.group]  # a smaller document of the block has the same run
+
+
+def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
+    return ((low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _narrow(ords: np.ndarray) -> tuple[int, bytes]:
+    """Ids as their smallest and the differences to it, in 4 bytes each where these suffice."""
+    least = int(ords.min())
+    off = ords.astype(np.uint64) - np.uint64(least % (1 << 64))
+    return least, (off.astype(np.uint32) if int(off.max()) < 1 << 32 else off).tobytes()
+
+
+def _wide(least: int, data: bytes, n: int) -> np.ndarray:
+    return (np.frombuffer(data, dtype=np.uint32 if len(data) == 4 * n else np.uint64).astype(np.uint64) + np.uint64(least % (1 << 64))).astype(np.int64)
+
 
+def _deal(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartitionById(buckets, F.col("bucket")) if hasattr(df, "repartitionById") else df.repartition(buckets, "bucket")
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    return _chunks(texts)
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
 
-def _i64(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+def _batch(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.values())], names=list(schema))
+
+
+def _joined(parts: list[bytes] | None, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(parts or ()), dtype=dtype)
+
+
+def _runs_schema() -> dict[str, pa.DataType]:
+    return {"bucket": pa.int32(), "block": pa.int64(), "base": pa.int32(), "low": pa.binary(), "content": pa.binary(), "least": pa.int64(), "ords": pa.binary()}
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,77 +140,171 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
     each other's bytes. Repeated rows have repeated results; other columns are ignored; an empty table gives
     an empty result.
 
-    1. Runs of strings with one minimizer, by minimizer: those in one document only are done.
-    2. Of runs with equal bytes the smallest document's stays; the others are cut whole.
-    3. Runs that stay, of minimizers with several different runs, are taken apart into strings; of equal
-       strings all but the smallest document's are cut.
-    Every step shuffles hashes, pre-aggregated by key; texts are shuffled by row for steps 3 and the cut."""
+    1. Rows are written as blocks of texts. Of a block's runs of strings with one minimizer, each different
+       one goes to its minimizer's bucket once, with its smallest document; later ones are cut in the block.
+    2. A bucket tells the blocks which runs a smaller document has (these are cut whole) and which share
+       their minimizer with different runs. The bytes of the latter go to their buckets.
+    3. There equal strings are found among them; all but the smallest document's are cut.
+    Records are packed by block and bucket; a run that all documents have is one record a block."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("ord"), row_key(F.col(id_col), body)[0].alias("r"), body.cast("binary").alias("text"))
-
-    def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            order, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi in _batches(texts):
-                low, content, doc, start, length = runs(texts[lo:hi], width, gram)
-                yield pa.RecordBatch.from_arrays([_i64(low), _i64(content), _i64(order[lo:hi][doc]), _i64(key[lo:hi][doc]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["m", "c", "ord", "r", "start", "size"])
-
-    made = rows.select("ord", "r", "text").mapInArrow(cut_runs, "m long, c long, ord long, r long, start int, size int")
-    shared = scratch.write(made.groupBy("m").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("m"), "shared")
-    scratch.release()
-    live = scratch.write(made.join(shared.hint("merge"), "m"), "live")
-    scratch.release()
-    firsts = scratch.write(live.groupBy("m", "c").agg(F.min("ord").alias("lo")), "firsts")
-    several = scratch.write(firsts.groupBy("m").agg(F.count("*").alias("n")).filter("n > 1").select("m"), "several")
-    known = live.join(firsts.hint("merge"), ["m", "c"])
-    spans = scratch.write(known.filter("ord > lo").select("r", "start", "size"), "spans1")
-    apart = known.filter("ord = lo").join(several.hint("merge"), "m", "left_semi").groupBy("r").agg(F.collect_set(F.struct("start", "size")).alias("parts"))
-    apart = scratch.write(apart, "apart")
-    scratch.drop("live", "shared")
+    scratch, buckets = Scratch(spark), shuffle_partitions(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "text": pa.binary()}
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for doc_id, text in _rows(batches):
+            text = text or b""
+            if ids and size + len(text) > BLOCK:
+                yield _batch(schema, [(block, ids, [len(t) for t in texts], b"".join(texts))])
+                block, ids, texts, size = block + 1, [], [], 0
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+        if ids:
+            yield _batch(schema, [(block, ids, [len(t) for t in texts], b"".join(texts))])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = scratch.write(rows.mapInArrow(pack, "block long, ids array<long>, sizes array<long>, text binary"), "blocks")
+
+    def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, text in _rows(batches):
+            b = Block(ids, sizes, text, width, gram)
+            low, content, ords = (x[b.unique] for x in (b.low, b.content, b.ord))
+            cuts = np.searchsorted(_bucket(low, buckets), np.arange(buckets + 1))
+            out = [(k, block, lo, low[lo:hi].tobytes(), content[lo:hi].tobytes(), *_narrow(ords[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if lo < hi]
+            yield _batch(_runs_schema(), out)
+
+    def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_rows(batches))
+        if not found:
+            return
+        low, content = (np.concatenate([np.frombuffer(x[k], dtype=np.uint64) for x in found]) for k in (3, 4))
+        sizes = np.array([len(x[3]) // 8 for x in found])
+        ords = np.concatenate([_wide(x[5], x[6], n) for x, n in zip(found, sizes.tolist())])
+        order, new = _groups(ords, content, low)
+        first = np.empty(len(order), dtype=np.int64)
+        first[order] = ords[order][_firsts(new)]
+        new_low = np.concatenate([[True], np.diff(low[order]) != 0])
+        nth = np.cumsum(new_low) - 1
+        at = np.flatnonzero(new_low)
+        several = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(ords[order], at) < np.maximum.reduceat(ords[order], at))
+        apart = np.empty(len(order), dtype=bool)
+        apart[order] = several[nth]
+        cut = ords > first
+        apart &= ~cut
+        out, ends = [], np.cumsum(sizes)
+        for x, lo, hi in zip(found, (ends - sizes).tolist(), ends.tolist()):
+            own = [(np.flatnonzero(y[lo:hi]) + x[2]).astype(np.uint32).tobytes() for y in (cut, apart)]
+            if own[0] or own[1]:
+                out.append((x[1], *own))
+        yield _batch({"block": pa.int64(), "cut": pa.binary(), "apart": pa.binary()}, out)
+
+    dealt = _deal(blocks.select("block", "ids", "sizes", "text").mapInArrow(deal_runs, "bucket int, block long, base int, low binary, content binary, least long, ords binary"), buckets)
+    judged = scratch.write(dealt.mapInArrow(judge_runs, "block long, cut binary, apart binary"), "judged")
     scratch.release()
 
-    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            order, key, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            for lo, hi in _batches(texts):
-                h = Hashed(texts[lo:hi], width, gram)
-                wanted = np.zeros(len(h.buf) + 1, dtype=np.int32)
-                for k, own in enumerate(parts[lo:hi]):
-                    for x in own:
-                        wanted[h.firsts[k] + x["start"]] += 1
-                        wanted[h.firsts[k] + x["start"] + x["size"] - width + 1] -= 1
-                take = np.cumsum(wanted)[h.starts] > 0
-                at, low = h.starts[take], h.low[take]
-                doc = h.doc[at]
-                yield pa.RecordBatch.from_arrays([_i64(low), _i64(mix(h.of(at, width))), _i64(order[lo:hi][doc]), _i64(key[lo:hi][doc]), pa.array((at - h.firsts[doc]).astype(np.int32))], names=["m", "w", "ord", "r", "start"])
-
-    strings = rows.select("ord", "r", "text").join(apart.hint("merge"), "r").select("ord", "r", "text", "parts").mapInArrow(take_apart, "m long, w long, ord long, r long, start int")
-    strings = scratch.write(strings, "strings")
+    def merged(replies: DataFrame, *columns: str) -> DataFrame:
+        lists: list[Column] = [F.collect_list(c).alias(c) for c in columns]
+        return replies.groupBy("block").agg(*lists)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _runs_schema() | {"kind": pa.int32()}
+        for block, ids, sizes, text, cut, apart in _rows(batches):
+            b = Block(ids, sizes, text, width, gram)
+            state = np.zeros(len(b.unique), dtype=np.int8)
+            state[_joined(cut, np.uint32)] = 1
+            state[_joined(apart, np.uint32)] = 2
+            own = state[b.group]
+            gone = b.later | (own == 1)
+            out = [(0, block, 0, b.start[gone].astype(np.int64).tobytes(), b.count[gone].astype(np.uint8).tobytes(), 0, b"", 1)]
+            part = np.flatnonzero(~gone & (own == 2))
+            out.append((0, block, 0, b.start[part].astype(np.int64).tobytes(), b.group[part].astype(np.uint32).tobytes(), 0, b"", 2))
+            wanted = np.flatnonzero(state == 2)
+            at = b.unique[wanted]
+            cuts = np.searchsorted(_bucket(b.low[at], buckets), np.arange(buckets + 1))
+            for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if lo < hi:
+                    w = at[lo:hi]
+                    body = b"".join(text[s : s + n] for s, n in zip(b.start[w].tolist(), (b.count[w] + width - 1).tolist()))
+                    least, ords = _narrow(b.ord[w])
+                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + b.low[w].tobytes(), body, least, ords, 0))
+            yield _batch(schema, out)
+
+    answered = blocks.join(merged(judged, "cut", "apart").hint("merge"), "block", "left").select("block", "ids", "sizes", "text", "cut", "apart")
+    marked = scratch.write(answered.mapInArrow(mark, "bucket int, block long, base int, low binary, content binary, least long, ords binary, kind int"), "marked", "kind")
+    scratch.drop("judged")
     scratch.release()
-    repeated = scratch.write(strings.groupBy("m", "w").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("m", "w", "lo"), "repeated")
-    more = strings.join(repeated.hint("merge"), ["m", "w"]).filter("ord > lo").select("r", "start", F.lit(width).alias("size"))
-    gone = scratch.write(spans.unionByName(more).groupBy("r").agg(F.collect_set(F.struct("start", "size")).alias("parts")), "gone")
-    scratch.drop("strings", "spans1", "firsts")
+
+    def judge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_rows(batches))
+        if not found:
+            return
+        sizes = np.array([len(x[1]) // 13 for x in found])
+        counts = np.concatenate([np.frombuffer(x[1], np.uint8, n, 4 * n) for x, n in zip(found, sizes.tolist())]).astype(np.int64)
+        low = np.concatenate([np.frombuffer(x[1][5 * n :], np.uint64) for x, n in zip(found, sizes.tolist())])
+        ords = np.concatenate([_wide(x[3], x[4], n) for x, n in zip(found, sizes.tolist())])
+        buf = np.frombuffer(b"".join(x[2] for x in found), dtype=np.uint8)
+        ends = np.cumsum(counts + width - 1)
+        firsts, masks = ends - counts - width + 1, np.zeros(len(counts), dtype=np.uint64)
+        parts = int(counts.sum()) // (1 << 21) + 1
+        share = (mix(low) % np.uint64(parts)).astype(np.int64)
+        for k in range(parts):  # equal strings have equal minimizers, so that they are in one part
+            hashes, texts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, starts, end, text in _slices(ends, len(buf), width):
+                mine = share[text] == k
+                starts, text = starts[mine], text[mine]
+                hashes.append(mix(Rolling(buf[at:end]).of(starts, width)))
+                texts.append(text)
+                places.append(starts + at - firsts[text])
+            h, text, place = (np.concatenate(x) for x in (hashes, texts, places))
+            if not len(h):
+                continue
+            order, new = _groups(ords[text], h, low[text])
+            own = ords[text][order]
+            late = order[own > own[_firsts(new)]]
+            np.bitwise_or.at(masks, text[late], np.uint64(1) << place[late].astype(np.uint64))
+        out, upto = [], np.cumsum(sizes)
+        for x, n, hi in zip(found, sizes.tolist(), upto.tolist()):
+            some = masks[hi - n : hi]
+            if some.any():
+                out.append((x[0], np.frombuffer(x[1], np.uint32, n)[some != 0].tobytes(), some[some != 0].tobytes()))
+        yield _batch({"block": pa.int64(), "runs": pa.binary(), "masks": pa.binary()}, out)
+
+    strings = marked.filter("kind = 0").select("bucket", "block", "low", "content", "least", "ords")
+    found = _deal(strings, buckets).select("block", "low", "content", "least", "ords").mapInArrow(judge_strings, "block long, runs binary, masks binary")
+    found = scratch.write(found, "found")
     scratch.release()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple] = []
-            for text, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = text or b""
-                edge = np.zeros(len(text) + 1, dtype=np.int32)
-                for x in parts or ():
-                    edge[x["start"]] += 1
-                    edge[x["start"] + x["size"]] -= 1
-                off = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(text, dtype=np.uint8)[~off].tobytes()
-                found.append((len(text), int(off.sum()), int(np.count_nonzero(np.diff(off.astype(np.int8), prepend=np.int8(0)) == 1)), kept, hashlib.sha256(kept).hexdigest()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    joined = rows.join(gone.hint("merge"), "r", "left").select("doc_id", "text", "parts")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
+        for ids, sizes, text, start, count, part, group, own, masks in _rows(batches):
+            edge = np.zeros(len(text) + 1, dtype=np.int32)
+            first, n = np.frombuffer(start or b"", np.int64), np.frombuffer(count or b"", np.uint8).astype(np.int64)
+            np.add.at(edge, first, 1)
+            np.subtract.at(edge, first + n + width - 1, 1)
+            own, masks = _joined(own, np.uint32), _joined(masks, np.uint64)
+            part, group = np.frombuffer(part or b"", np.int64), np.frombuffer(group or b"", np.uint32)
+            if len(own):
+                order = np.argsort(own)
+                own, masks = own[order], masks[order]
+                at = np.minimum(np.searchsorted(own, group), len(own) - 1)
+                of = np.where(own[at] == group, masks[at], np.uint64(0))
+                for k in range(RUN):
+                    first = part[(of >> np.uint64(k)) & np.uint64(1) == 1] + k
+                    np.add.at(edge, first, 1)
+                    np.subtract.at(edge, first + width, 1)
+            off, buf = np.cumsum(edge[:-1]) > 0, np.frombuffer(text, dtype=np.uint8)
+            out, at = [], 0
+            for doc_id, size in zip(ids, sizes):
+                own_off = off[at : at + size]
+                kept = buf[at : at + size][~own_off].tobytes()
+                spans = int(np.count_nonzero(own_off[1:] & ~own_off[:-1])) + bool(size and own_off[0])
+                out.append((doc_id, size, int(own_off.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
+                at += size
+            yield _batch(schema, out)
+
+    whole = marked.filter("kind = 1").select("block", F.col("low").alias("start"), F.col("content").alias("count"))
+    part = marked.filter("kind = 2").select("block", F.col("low").alias("part"), F.col("content").alias("group"))
+    told = whole.join(part.hint("merge"), "block").join(merged(found, "runs", "masks").hint("merge"), "block", "left")
+    final = blocks.join(told.hint("merge"), "block", "left").select("ids", "sizes", "text", "start", "count", "part", "group", "runs", "masks")
+    return final.mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
