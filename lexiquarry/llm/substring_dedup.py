@@ -55,7 +55,7 @@ def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.n
         while 2 * step <= span:  # minimum of the next 1, 2, 4 ... grams
             low = np.minimum(low[: len(low) - step], low[step:])
             step *= 2
-        low = np.minimum(low[starts], low[starts + span - step])
+        low = mix(np.minimum(low[starts], low[starts + span - step]))  # minima are small; mixed, they fill the buckets evenly
         new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(starts) != 1) | (np.diff(text) != 0)]))
         sizes = np.diff(np.append(new, len(starts)))
         if sizes.max() > RUN:
