@@ -167,6 +167,25 @@ def test_substrings_equal_brute_force(spark, sf, docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(body), off.sum(), np.count_nonzero(np.diff(off.astype(int), prepend=0) == 1), hashlib.sha256(kept).hexdigest())
 
 
+def test_substrings_of_odd_rows_equal_brute_force(spark):
+    """Null ids and texts, repeated rows, short, periodic and non-ASCII texts."""
+    again = "some words that go on and on, "
+    rows = [(5, again * 400), (3, again * 90), (3, again * 90), (None, again * 30), (None, again * 70), (7, None), (8, ""), (9, "x" * 49), (10, "x" * 50), (11, "x" * 500), (12, "é日本" * 40), (13, "a" + "é日本" * 40), (14, "q" * 20 + again * 5 + "z" * 60), (4, "z" * 80 + again * 6)]
+    bodies, first = sorted((-(1 << 63) if d is None else d, (t or "").encode()) for d, t in rows), {}
+    for d, body in bodies:
+        for i in range(len(body) - 49):
+            first.setdefault(body[i : i + 50], d)
+    want = []
+    for d, body in bodies:
+        off = np.zeros(len(body) + 1, bool)
+        for i in range(len(body) - 49):
+            off[i : i + 50] |= first[body[i : i + 50]] < d
+        kept = np.frombuffer(body, np.uint8)[~off[:-1]].tobytes()
+        want.append((d, len(body), int(off.sum()), int(np.count_nonzero(np.diff(off.astype(int), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()))
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).drop("kept").fillna(-(1 << 63), "doc_id")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
