@@ -99,6 +99,11 @@ def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
     return ((low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _rest(low: np.ndarray) -> bytes:
+    """The half of the minimizers that the bucket doesn't tell; two that share it are told apart by their runs' bytes."""
+    return low.astype(np.uint32).tobytes()
+
+
 def _narrow(ords: np.ndarray) -> tuple[int, bytes]:
     """Ids as their smallest and the differences to it, in 4 bytes each where these suffice."""
     least = int(ords.min())
@@ -171,15 +176,15 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
             b = Block(ids, sizes, text, width, gram)
             low, content, ords = (x[b.unique] for x in (b.low, b.content, b.ord))
             cuts = np.searchsorted(_bucket(low, buckets), np.arange(buckets + 1))
-            out = [(k, block, lo, low[lo:hi].tobytes(), content[lo:hi].tobytes(), *_narrow(ords[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if lo < hi]
+            out = [(k, block, lo, _rest(low[lo:hi]), content[lo:hi].tobytes(), *_narrow(ords[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if lo < hi]
             yield _batch(_runs_schema(), out)
 
     def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(_rows(batches))
         if not found:
             return
-        low, content = (np.concatenate([np.frombuffer(x[k], dtype=np.uint64) for x in found]) for k in (3, 4))
-        sizes = np.array([len(x[3]) // 8 for x in found])
+        low, content = (np.concatenate([np.frombuffer(x[k], dtype=kind) for x in found]) for k, kind in ((3, np.uint32), (4, np.uint64)))
+        sizes = np.array([len(x[3]) // 4 for x in found])
         ords = np.concatenate([_wide(x[5], x[6], n) for x, n in zip(found, sizes.tolist())])
         order, new = _groups(ords, content, low)
         first = np.empty(len(order), dtype=np.int64)
@@ -227,7 +232,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
                     w = at[lo:hi]
                     body = b"".join(text[s : s + n] for s, n in zip(b.start[w].tolist(), (b.count[w] + width - 1).tolist()))
                     least, ords = _narrow(b.ord[w])
-                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + b.low[w].tobytes(), body, least, ords, 0))
+                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + _rest(b.low[w]), body, least, ords, 0))
             yield _batch(schema, out)
 
     answered = blocks.join(merged(judged, "cut", "apart").hint("merge"), "block", "left").select("block", "ids", "sizes", "text", "cut", "apart")
@@ -239,15 +244,15 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
         found = list(_rows(batches))
         if not found:
             return
-        sizes = np.array([len(x[1]) // 13 for x in found])
+        sizes = np.array([len(x[1]) // 9 for x in found])
         counts = np.concatenate([np.frombuffer(x[1], np.uint8, n, 4 * n) for x, n in zip(found, sizes.tolist())]).astype(np.int64)
-        low = np.concatenate([np.frombuffer(x[1][5 * n :], np.uint64) for x, n in zip(found, sizes.tolist())])
+        low = np.concatenate([np.frombuffer(x[1][5 * n :], np.uint32) for x, n in zip(found, sizes.tolist())])
         ords = np.concatenate([_wide(x[3], x[4], n) for x, n in zip(found, sizes.tolist())])
         buf = np.frombuffer(b"".join(x[2] for x in found), dtype=np.uint8)
         ends = np.cumsum(counts + width - 1)
         firsts, masks = ends - counts - width + 1, np.zeros(len(counts), dtype=np.uint64)
         parts = int(counts.sum()) // (1 << 21) + 1
-        share = (mix(low) % np.uint64(parts)).astype(np.int64)
+        share = (mix(low.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         for k in range(parts):  # equal strings have equal minimizers, so that they are in one part
             hashes, texts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, starts, end, text in _slices(ends, len(buf), width):
