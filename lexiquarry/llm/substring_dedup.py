@@ -99,6 +99,15 @@ def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
     return ((low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(data: bytes) -> bytes:
+    """Bytes compressed once, so that they stay small in tables and exchanges; whoever unpacks them knows their size."""
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def _rest(low: np.ndarray) -> bytes:
     """The half of the minimizers that the bucket doesn't tell; two that share it are told apart by their runs' bytes."""
     return low.astype(np.uint32).tobytes()
@@ -160,19 +169,20 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
         for doc_id, text in _rows(batches):
             text = text or b""
             if ids and size + len(text) > BLOCK:
-                yield _batch(schema, [(block, ids, [len(t) for t in texts], b"".join(texts))])
+                yield _batch(schema, [(block, ids, [len(t) for t in texts], _packed(b"".join(texts)))])
                 block, ids, texts, size = block + 1, [], [], 0
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
         if ids:
-            yield _batch(schema, [(block, ids, [len(t) for t in texts], b"".join(texts))])
+            yield _batch(schema, [(block, ids, [len(t) for t in texts], _packed(b"".join(texts)))])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     blocks = scratch.write(rows.mapInArrow(pack, "block long, ids array<long>, sizes array<long>, text binary"), "blocks")
 
     def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, sizes, text in _rows(batches):
+            text = _unpacked(text, sum(sizes))
             b = Block(ids, sizes, text, width, gram)
             low, content, ords = (x[b.unique] for x in (b.low, b.content, b.ord))
             cuts = np.searchsorted(_bucket(low, buckets), np.arange(buckets + 1))
@@ -215,6 +225,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _runs_schema() | {"kind": pa.int32()}
         for block, ids, sizes, text, cut, apart in _rows(batches):
+            text = _unpacked(text, sum(sizes))
             b = Block(ids, sizes, text, width, gram)
             state = np.zeros(len(b.unique), dtype=np.int8)
             state[_joined(cut, np.uint32)] = 1
@@ -232,7 +243,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
                     w = at[lo:hi]
                     body = b"".join(text[s : s + n] for s, n in zip(b.start[w].tolist(), (b.count[w] + width - 1).tolist()))
                     least, ords = _narrow(b.ord[w])
-                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + _rest(b.low[w]), body, least, ords, 0))
+                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + _rest(b.low[w]), _packed(body), least, ords, 0))
             yield _batch(schema, out)
 
     answered = blocks.join(merged(judged, "cut", "apart").hint("merge"), "block", "left").select("block", "ids", "sizes", "text", "cut", "apart")
@@ -248,8 +259,9 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
         counts = np.concatenate([np.frombuffer(x[1], np.uint8, n, 4 * n) for x, n in zip(found, sizes.tolist())]).astype(np.int64)
         low = np.concatenate([np.frombuffer(x[1][5 * n :], np.uint32) for x, n in zip(found, sizes.tolist())])
         ords = np.concatenate([_wide(x[3], x[4], n) for x, n in zip(found, sizes.tolist())])
-        buf = np.frombuffer(b"".join(x[2] for x in found), dtype=np.uint8)
         ends = np.cumsum(counts + width - 1)
+        bodies = np.diff(np.append(0, ends[np.cumsum(sizes) - 1])).tolist()
+        buf = np.frombuffer(b"".join(_unpacked(x[2], n) for x, n in zip(found, bodies)), dtype=np.uint8)
         firsts, masks = ends - counts - width + 1, np.zeros(len(counts), dtype=np.uint64)
         parts = int(counts.sum()) // (1 << 21) + 1
         share = (mix(low.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -283,6 +295,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
         for ids, sizes, text, start, count, part, group, own, masks in _rows(batches):
+            text = _unpacked(text, sum(sizes))
             edge = np.zeros(len(text) + 1, dtype=np.int32)
             first, n = np.frombuffer(start or b"", np.int64), np.frombuffer(count or b"", np.uint8).astype(np.int64)
             np.add.at(edge, first, 1)
