@@ -40,9 +40,27 @@ def overlay(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.select(*keys, "content").join(last, keys, "left_anti").unionByName(last.filter("op = 'put'").select(*keys, "content"))
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """doc_id by path within each repository."""
-    return files.withColumn("doc_id", (F.row_number().over(Window.partitionBy("repo_id").orderBy("path")) - 1).cast("long"))
+def numbered(files: DataFrame, cuts: int | None = None) -> DataFrame:
+    """doc_id by path within each repository. Null paths come first.
+
+    A repository of any size is cut at keys drawn by hash from all files, as many as there are shuffle
+    partitions, so that no task sorts more than the files between two cuts. A file finds its cut by binary
+    search. Each row moves once; the sizes that are summed have a row per repository and cut."""
+    cuts = cuts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = files.select("repo_id", "path").orderBy(F.xxhash64("repo_id", "path"), "repo_id", "path").limit(cuts).orderBy("repo_id", "path").collect()
+    text = lambda v: F.lit(v).cast("string")
+    at = F.lit(0)
+    if drawn:
+        listed, key = F.array(*(F.struct(text(r.repo_id).alias("repo_id"), text(r.path).alias("path")) for r in drawn)), F.struct("repo_id", "path")
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(drawn).bit_length()))))
+        at = F.aggregate(steps, at, lambda n, step: F.when(F.get(listed, n + step - 1) <= key, n + step).otherwise(n))
+    cut_files = files.withColumn("__cut", at)
+    sizes = cut_files.groupBy(F.col("repo_id").alias("__repo"), F.col("__cut").alias("__at")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__repo").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__repo", "__at", before.alias("__before"))
+    inside = cut_files.withColumn("__nth", F.row_number().over(Window.partitionBy("repo_id", "__cut").orderBy("path")) - 1)
+    found = inside.join(starts, F.col("repo_id").eqNullSafe(F.col("__repo")) & (F.col("__cut") == F.col("__at")))
+    return found.select(*files.columns, (F.col("__before") + F.col("__nth")).cast("long").alias("doc_id"))
 
 
 class CorpusStore:

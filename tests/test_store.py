@@ -3,7 +3,7 @@ import threading
 import pytest
 
 from lexiquarry.operators.search import matches
-from lexiquarry.operators.store import CorpusStore, shard_name
+from lexiquarry.operators.store import CorpusStore, numbered, shard_name
 from lexiquarry.plans.requests import SearchRequest
 from lexiquarry.sources.corpus import repository_of, source_tree
 from lexiquarry.streaming.feed import FEED, start_feed
@@ -80,3 +80,17 @@ def test_source_tree(spark, tmp_path):
     assert source_tree(spark, str(tmp_path), skip_binary=False).count() == 3
     assert repository_of("https://github.com/org/name.git") == ("org", "name") and repository_of("o/n") == ("o", "n")
     assert repository_of("https://dev.azure.com/company/project/_git/repo") == ("project", "repo")
+
+
+@pytest.mark.parametrize("cuts", [1, 7, 64, None])
+def test_numbered_without_gaps(spark, cuts):
+    """A repository that holds most files, null keys, repeated rows, an empty table."""
+    rows = [("a", f"p{i}") for i in range(400)] + [("b", "x"), ("b", None), ("b", None), (None, "q"), (None, "é"), ("aé", "Z")]
+    found = {}
+    for r in numbered(spark.createDataFrame(rows, "repo_id string, path string"), cuts).collect():
+        found.setdefault(r.repo_id, []).append((r.doc_id, r.path is not None, (r.path or "").encode()))
+    assert sum(map(len, found.values())) == len(rows)
+    for own in found.values():
+        own.sort()
+        assert [n for n, *_ in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+    assert numbered(spark.createDataFrame([], "repo_id string, path string"), cuts).count() == 0
