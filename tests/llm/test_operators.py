@@ -228,6 +228,27 @@ def test_html(spark, sf):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+def test_html_nested_blocks_equal_brute_force(spark):
+    """Neighbours with the same key and children of several kinds: sections, table rows, lists, odd orders."""
+    import random
+
+    draw, rows, want = random.Random(3), [], {}
+    for page in range(30):
+        n = iter(range(10_000))
+        word = lambda: f"w{page}x{next(n)} text"
+        kinds = {
+            "section": lambda: "".join(f"<{t}>{word()}</{t}>" for t in draw.choices(["h2", "p", "blockquote"], k=draw.randint(1, 6))),
+            "tr": lambda: "".join(f"<{t}>{word()}</{t}>" for t in ["th", "td", "td"][: draw.randint(1, 3)]),
+            "li": lambda: f"<p>{word()}</p><ul><li>{word()}</li><li><p>{word()}</p></li></ul>",
+            "div": lambda: f"<h3>{word()}</h3>{word()}<p>{word()}</p><div><p>{word()}</p><h4>{word()}</h4></div>",
+        }
+        inner = "".join(hull[0] + "".join(f"<{t}>{kinds[t]()}</{t}>" for _ in range(draw.randint(2, 4))) + hull[1] for t, hull in [("section", ("", "")), ("tr", ("<table>", "</table>")), ("li", ("<ul>", "</ul>")), ("div", ("", ""))])
+        rows.append((page, "http://n.example/p", _page(f"<article>{inner}</article>")))
+        want[page] = "\n".join(x.strip() for x in re.split("<[^>]*>", inner) if x.strip())
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_pipeline(spark, sf, docs):
     base = spark.read.parquet(f"{sf}/documents.parquet")
     tagged = corpus_pipeline.language_id(spark, base, sf)
