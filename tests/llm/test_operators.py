@@ -249,6 +249,19 @@ def test_html_nested_blocks_equal_brute_force(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
+def test_html_mixed_layouts(spark):
+    """Pages without an article beside many with one, and pages without a host that have nothing in common."""
+    bodies = [(f"<article><h1>Title {k}</h1><p>story {k}</p></article>", f"Title {k}\nstory {k}") for k in range(20)] + [
+        ("<div id=content><p>no article here</p></div>", "no article here"),
+        ("<div class=about><p>About this house and all who live in it.</p></div><main><h1>Main</h1><p>text of main</p></main>", "Main\ntext of main"),
+        ("<article> </article><div id=content><h2>Empty article</h2><p>text beside it</p></div>", "Empty article\ntext beside it"),
+    ]
+    for url in ("http://m.example/p", None):
+        rows = [(i, url, _page(b, f"t{i}")) for i, (b, _) in enumerate(bodies)]
+        got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: t for i, (_, t) in enumerate(bodies)}
+
+
 def test_pipeline(spark, sf, docs):
     base = spark.read.parquet(f"{sf}/documents.parquet")
     tagged = corpus_pipeline.language_id(spark, base, sf)
