@@ -262,6 +262,19 @@ def test_html_mixed_layouts(spark):
         assert got == {i: t for i, (_, t) in enumerate(bodies)}
 
 
+def test_html_copies_are_no_template(spark):
+    """What only the copies of one article have is its text; what most different pages of the host have is not."""
+    end = "<footer class=x></footer><h6>All rights reserved.</h6>"
+    long = lambda first: f"<article><h1>Long</h1><p>{first}</p><table><tr><td>cell</td></tr></table><h2>Part</h2><p>more</p><blockquote>quote</blockquote><ul><li>item</li></ul>{end}</article>"
+    text = lambda first: f"Long\n{first}\ncell\nPart\nmore\nquote\nitem"
+    bodies = [(f"<article><h1>Title {k}</h1><p>story {k}</p>{end}</article>", f"Title {k}\nstory {k}") for k in range(100)]
+    bodies += [(long("copied"), text("copied"))] * 120 + [(long(f"near {k}"), text(f"near {k}")) for k in range(9)]
+    for titles in (1, 7):
+        rows = [(i, "http://c.example/p", _page(b, f"t{i % titles}")) for i, (b, _) in enumerate(bodies)]
+        got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+        assert got == {i: t for i, (_, t) in enumerate(bodies)}
+
+
 def test_pipeline(spark, sf, docs):
     base = spark.read.parquet(f"{sf}/documents.parquet")
     tagged = corpus_pipeline.language_id(spark, base, sf)
