@@ -61,9 +61,10 @@ class ItemIndex:
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (item_id, words, cut) in enumerate(parsed):
             full = shingles(words, width)
-            # a run across question and answer counts as the answer's
-            head = shingles(words[:cut], width)
-            self.items.append(Item(item_id, head, full - head if cut < len(words) else set()))
+            # a run across question and answer counts as the answer's, but as the question's if that has no run of its own
+            head = shingles(words[:cut] if cut >= width else words[: cut + width - 1], width)
+            tail = full - head or shingles(words[max(0, cut - width + 1) :], width)
+            self.items.append(Item(item_id, head, tail if cut < len(words) else set()))
             weight = {w: math.log(1 + (len(parsed) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean)) for w, n in Counter(words).items()}
             missing = math.floor((1 - threshold) * len(full) + 1e-9) if len(words) >= width else 0
             heavy = sorted(weight.values(), reverse=True)

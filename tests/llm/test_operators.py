@@ -129,6 +129,25 @@ def test_contamination_equals_brute_force(spark, sf, docs):
     assert {(r.doc_id, r.item_id) for r in registered.queries()["op1_decontamination"](spark, sf).collect()} == want and want
 
 
+def test_contamination_by_short_questions(spark):
+    """Items whose question has fewer words than a shingle: verbatim, and as near copies at the threshold."""
+    items = [(1, "Who wrote it? Ann did."), (2, "Why? Because."), (3, "Who wrote it? Nobody knows that."), (4, "Where? In a house by the lake behind the old mill and two more barns to come."), (5, "Is it so? No."), (6, "This one has a long question of its own. Yes.")]
+    words = {i: _WORD.findall(t.lower()) for i, t in items}
+    texts = [f"before {t} after all" for _, t in items] + [" ".join([*words[4][:cut], "x"]) for cut in (15, 14, 13, 12)] + [" ".join(["x", *words[4][cut:], "y"]) for cut in (1, 2, 3)] + ["who wrote", "nothing"]
+    want = set()
+    for d, t in enumerate(texts):
+        own = _WORD.findall(t.lower())
+        for i, w in words.items():
+            runs = shingles(w)
+            n = len(next(iter(runs)))
+            if len(runs & {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}) >= 0.8 * len(runs) - 1e-9:
+                want.add((d, i))
+    got = find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {(k, k + 1) for k in range(6)} < want
+    assert all((r.overlap, r.question_overlap, r.answer_overlap) == (1, 1, 1) for r in got if r.doc_id == r.item_id - 1)
+    assert all(i.question | i.answer == shingles(words[i.item_id]) for i in ItemIndex(items).items)
+
+
 def test_language_of_held_out(spark, sf):
     got = registered.queries()["op2_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert len(got) and (got.lang == got.lang_pred).mean() > 0.95
