@@ -92,7 +92,8 @@ def _matrix(tally: DataFrame, rows: int, columns: int) -> np.ndarray:
 def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     """Classes of all words but the last two of a word bigram matrix, which stay in classes of their own
     (all other words, the end token). Words move one by one, frequent ones first, to the class that most
-    raises sum N(c,d) log N(c,d) - sum N(c) log N(c) over left and right counts, until none moves."""
+    raises sum N(c,d) log N(c,d) - sum N(c) log N(c) over left and right counts, until none moves
+    or `rounds` are done."""
     n = len(pairs) - 2
     total = classes + 2
     own = np.concatenate([np.arange(n) % classes, [classes, classes + 1]])
