@@ -49,7 +49,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = fit(docs.filter(training_row()), tokenizer_file("piece_bpe_32k.model"))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score", "lift")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

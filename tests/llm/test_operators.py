@@ -16,7 +16,7 @@ from lexiquarry.llm.class_lm import class_lm_scores, exchange
 from lexiquarry.llm.decontamination import _WORD, ItemIndex, decontaminate, find_contamination, shingles
 from lexiquarry.llm.exact_dedup import exact_dedup
 from lexiquarry.llm.html_extraction import extract_pages
-from lexiquarry.llm.language_id import fit, identify
+from lexiquarry.llm.language_id import fit, identify, train, training_row
 from lexiquarry.llm.line_dedup import line_dedup
 from lexiquarry.llm.near_dedup import block_links, near_dedup, near_duplicates, prob_minhash, probability_jaccard, weighted_shingles, word_hashes
 from lexiquarry.llm.packing import WordTokenizer, pack_documents, sum_of_squares
@@ -153,6 +153,52 @@ def test_language_of_held_out(spark, sf):
     assert len(got) and (got.lang == got.lang_pred).mean() > 0.95
 
 
+def _enumerated(model, word):
+    """log of the summed probability of all segmentations, each one listed."""
+    word = " " + word
+    ways = lambda i: [[]] if i == len(word) else [[(i, j), *rest] for j in range(i + 1, len(word) + 1) if word[i:j] in model.vocabulary or j == i + 1 for rest in ways(j)]
+    p = lambda i, j: model.logp[model.vocabulary[word[i:j]]] if word[i:j] in model.vocabulary else model.unseen
+    return np.log(sum(np.exp(sum(p(i, j) for i, j in way)) for way in ways(0)))
+
+
+def test_segmentations_are_summed(spark, sf):
+    """The forward algorithm and one round of learning against all segmentations, and a word of many letters."""
+    model = fit(spark.read.parquet(f"{sf}/documents.parquet"), VOCABULARY)
+    words = ["the", "und", "x日y", "ouheti", "été", "straße", "q"]
+    want = np.array([_enumerated(model, w) for w in words])
+    assert np.allclose(model.words_logp(words), want, atol=1e-9) and np.allclose([model._long(w) for w in words], want, atol=1e-9)
+    once, twice = "ouheti" * 20_000, "ouheti" * 40_000
+    a, b = model.words_logp([once, twice])
+    assert np.isfinite(b).all() and np.allclose(b, 2 * a, rtol=1e-3)
+    vocabulary = {p: k for k, p in enumerate(["a", "b", "ab", " a", " "])}
+    counts = np.array([[2.0, 0.0], [1.0, 3.0]])
+    start = np.array([0.5 ** len(p) for p in vocabulary] + [1e-6])
+    start = dict(zip([*vocabulary, None], start / start.sum()))
+    learned = train(["ab", "ac"], counts, ["x", "y"], vocabulary, rounds=1)
+    prior = np.array([4.0 ** -len(p) for p in vocabulary] + [0.01 / 4])  # three letters and the word mark
+    expected = np.repeat((0.05 * 6 * prior / prior.sum())[:, None], 2, axis=1)
+    for word, n in zip((" ab", " ac"), counts):
+        ways = [w for k in range(1 << (len(word) - 1)) for w in [[word[i:j] for i, j in zip([0, *(x for x in range(1, len(word)) if k >> (x - 1) & 1)], [*(x for x in range(1, len(word)) if k >> (x - 1) & 1), len(word)])]] if all(p in vocabulary or len(p) == 1 for p in w)]
+        mass = [math.prod(start[p if p in vocabulary else None] for p in w) for w in ways]
+        for w, m in zip(ways, mass):
+            for p in w:
+                expected[vocabulary.get(p, 5)] += n * m / sum(mass)
+    assert np.allclose(np.exp(np.vstack([learned.logp, learned.unseen])), expected / expected.sum(axis=0))
+
+
+def test_language_of_numerals_and_null_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(docs, VOCABULARY)
+    rows = [(1, "½ 12"), (2, "² Ⅷ"), (3, "the½and of the other"), (None, "the and of it"), (4, "xqzv kjwq zzxj qqkv wvxz"), (5, "и не только это"), (6, "")]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all((got[k].lang_pred, got[k].score, got[k].lift) == ("und", 0.0, None) for k in (1, 2, 6)) and got[3].lang_pred == "en" and got[3].lift > 0
+    assert got[4].lift < 0 and got[5].lift < 0
+    flags = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", (~training_row()).alias("out")).collect()
+    assert all(r.out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2) for r in flags)
+    stage = corpus_pipeline.language_id(spark, docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(-k, t, None) for k, t in rows[:4] + rows[4:] if k], "doc_id long, text string, lang string")), sf)
+    assert {r.doc_id for r in stage.filter("doc_id < 0").collect()} == {-3}
+
+
 def test_lm_counts_and_gain(spark, sf, docs):
     counts = collections.Counter()
     words = {d: [*t.encode().lower().split(), b" "] for d, t in docs.items()}
@@ -205,6 +251,19 @@ def test_substrings_of_odd_rows_equal_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_shards_of_repeated_and_huge_rows(spark):
+    """Equal rows spread over blocks; a row larger than a shard; whole-number cuts as in the SQL."""
+    rows = [(None, "same")] * 300 + [(7, "x" * 20_000)] + [(k, "y" * k) for k in range(40)]
+    got = byte_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).toPandas()
+    order = sorted((-1 if d is None else d, zlib.crc32(t.encode()), len(t) + 16) for d, t in rows)
+    upto, total, want = 0, sum(x[2] for x in order), collections.Counter()
+    for d, c, size in order:
+        upto += size
+        want[d, c, size, min(4, (2 * upto - size) * 5 // (2 * total))] += 1
+    assert collections.Counter(zip(got.doc_id.fillna(-1).astype(int), got.text_crc32, got["size"], got.shard)) == want
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+
+
 def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
