@@ -21,8 +21,8 @@ def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))  # equal rows spread over blocks
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size"), F.col("tie")]
     n = shuffle_partitions(spark)
     blocks = scratch.write(narrow.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()), "blocks")
     totals = blocks.groupBy("block").agg(F.sum("size").alias("block_bytes"), F.count("*").alias("block_rows"))
@@ -36,8 +36,9 @@ def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: s
         .join(F.broadcast(totals), "block")
     )
     twice_middle = 2 * (F.col("bytes_before") + F.col("end")) - F.col("size")
-    shard = F.least(F.floor(twice_middle * F.lit(shards) / (2 * F.col("all_bytes"))).cast("int"), F.lit(shards - 1))
-    placed = scratch.write(summed.select("doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("nth")).alias("nth"), shard.alias("shard")), "placed")
+    summed = summed.select("doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("nth")).alias("nth"), twice_middle.cast("decimal(20,0)").alias("twice"), "all_bytes")
+    shard = F.least(F.expr(f"cast(twice * {shards} div (2 * all_bytes) as int)"), F.lit(shards - 1))  # whole numbers: exact at any size
+    placed = scratch.write(summed.select("doc_id", "size", "text_crc32", "nth", shard.alias("shard")), "placed")
     starts = placed.groupBy("shard").agg(F.min("nth").alias("first_nth"))
     return placed.join(F.broadcast(starts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - F.col("first_nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
