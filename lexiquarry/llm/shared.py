@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,22 +19,30 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir. Only a local session, whose tasks run in the driver's own
+    process, may go without; it gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lq_scratch", None)
     if not root:
-        root = getattr(spark, "_lq_scratch", None)
-        if root is None:
-            root = spark._lq_scratch = tempfile.mkdtemp(prefix="lexiquarry-")
-            atexit.register(shutil.rmtree, root, True)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark._lq_scratch = tempfile.mkdtemp(prefix="lexiquarry-")
+        atexit.register(shutil.rmtree, root, True)
     return root
 
 
 class Scratch:
-    """Tables of one operator call, written to the shared folder so that they outlive any executor."""
+    """Tables of one operator call, written to the shared folder so that they outlive any executor. The result may
+    read them, so they stay until the driver ends, which removes what is left of them."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/lexiquarry-{uuid.uuid4().hex}"
+        path, files = self._path("")
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Writes df under a fresh path and reads it back, which cuts the lineage."""
@@ -44,10 +53,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
 
     def release(self) -> None:
         """Lets Spark remove shuffle files of finished steps now instead of at the driver's next collection."""
