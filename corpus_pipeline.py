@@ -20,30 +20,46 @@ def _vocabulary(name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language: null texts and texts without letters go."""
-    model = fit(docs, _vocabulary("piece_bpe_32k.model"))
-    return identify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents in a language that the table's labels teach: a text goes if even the likeliest of them explains its
+    letters no better than an even draw does, as with random letters or other scripts.
+
+    Null and empty texts and texts without letters go; so does all text if no row is labelled. Repeated rows and
+    ties stay or go together; an empty table gives an empty one; other columns pass through, whatever their names."""
+    model, names = fit(docs, _vocabulary("piece_bpe_32k.model")), [f"`{c}`" for c in docs.columns]
+    tagged = identify(docs.select(F.struct(*names).alias("row"), "text"), model)
+    return tagged.filter("lang_pred <> 'und' and lift > 0").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in 10 documents or more stay in the first of them only; documents of which nothing is left go."""
+    """Lines found in 10 documents or more stay in the first of them only; documents of which nothing is left go.
+
+    Null texts become empty; empty texts stay, for they lost nothing. Repeated rows count as documents of their own, and
+    the first of them by id keeps the line, with its repeated rows. An empty table gives an empty one."""
     out = drop_lines(docs, min_docs=10, keep_first=True)
     left = (F.col("__lq_dropped") == 0) | (F.length(F.regexp_replace("text", r"\s", "")) > 0)
     return out.filter(left).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: that with the smallest id, null ids first.
+
+    Null texts count as empty; texts without words match only equal ones. Of repeated rows one stays. Ties in the id
+    are broken by place in the input. An empty table gives an empty one."""
     return drop_copies(docs, threshold=0.8, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay. Repeated rows stay or go together; an empty table gives an empty one."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.8, width=5)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, packed into sequences of 4096 tokens."""
+    """The pieces of all documents left, packed into sequences of 4096 tokens.
+
+    Null and empty texts are one token, the end id; null ids stay null. Repeated rows and ties are packed like
+    others; an empty table gives an empty one."""
     return pack_documents(docs, _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
