@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import duckdb
 import pytest
@@ -12,13 +14,15 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="lexiquarry-tests-")
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", folder).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(folder, True)
 
 
 @pytest.fixture(scope="session")
