@@ -1,8 +1,10 @@
-"""Removal of repeated byte strings: of every fixed-width string, all but the smallest document's are cut.
+"""Removal of repeated byte strings by a difference cover: of every fixed-width string, all but the smallest
+document's are cut.
 
-This is not the difference-cover suffix sort: a record per position is over 25 times the input before the
-first sort. Strings are dealt by their minimizer instead, which puts equal strings together; the README has
-the figures."""
+A cover of period v holds, for any two places, an offset below v that takes both to sampled places. Only the
+tuples at sampled places are sorted and named; names found in one document are dropped, for they start no repeated
+string; the names left are named again in pairs a period apart, which settles the inside of repeated passages;
+and what is left, the strings at the passages' edges, is merged by sampled place and compared byte by byte."""
 
 from __future__ import annotations
 
@@ -12,91 +14,80 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _BYTES, _powers, mix
+from .near_dedup import _BYTES, _STEP, _powers, mix
 from .shared import Scratch, shuffle_partitions
 
 LEAST = -(1 << 63)
-#: Bytes of text in a block (a longer document is a block of its own) and hashed at a time; most strings in a run.
-BLOCK, SLICE, RUN = 1 << 22, 1 << 20, 64
-
-
-def _slices(ends: np.ndarray, size: int, width: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
-    """Parts of the texts that end at `ends`: (first byte, starts of whole strings in the part, end of the part, text of each start)."""
-    for at in range(0, size, SLICE):
-        starts = np.arange(at, min(at + SLICE, size))
-        text = np.searchsorted(ends, starts, "right")
-        whole = starts + width <= ends[text]
-        yield at, starts[whole] - at, min(at + SLICE + width - 1, size), text[whole]
-
-
-class Rolling:
-    """Hashes of any strings of a part."""
-
-    def __init__(self, part: np.ndarray):
-        up, self.down = _powers(len(part) + 1)
-        self.summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[: len(part)])])
-
-    def of(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return (self.summed[starts + length] - self.summed[starts]) * self.down[starts]
-
-
-def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of up to RUN strings with one minimizer: (minimizer, hash of the run's bytes, text, start, strings).
-    Equal strings have equal minimizers, and runs with equal bytes hold the same strings."""
-    found = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3]
-    for at, starts, end, text in _slices(ends, len(buf), width):
-        if not len(starts):
-            continue
-        part = Rolling(buf[at:end])
-        low, span, step = mix(part.of(np.arange(end - at - gram + 1), gram)), width - gram + 1, 1
-        while 2 * step <= span:  # minimum of the next 1, 2, 4 ... grams
-            low = np.minimum(low[: len(low) - step], low[step:])
-            step *= 2
-        low = mix(np.minimum(low[starts], low[starts + span - step]))  # minima are small; mixed, they fill the buckets evenly
-        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(starts) != 1) | (np.diff(text) != 0)]))
-        sizes = np.diff(np.append(new, len(starts)))
-        if sizes.max() > RUN:
-            pieces = -(-sizes // RUN)
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            new, sizes = np.repeat(new, pieces) + nth * RUN, np.minimum(np.repeat(sizes, pieces) - nth * RUN, RUN)
-        first = starts[new]
-        found.append((low[new], mix(part.of(first, sizes + width - 1) ^ mix(sizes.astype(np.uint64))), text[new], first + at, sizes))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the keys (the last one counts first) and whether a group of all but the first key begins there."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[1:]], axis=0)
-    return order, new
-
-
-def _firsts(new: np.ndarray) -> np.ndarray:
-    """For each place of an order, where its group begins."""
-    return np.flatnonzero(new)[np.cumsum(new) - 1]
+#: Bytes of text in a block (a longer document is a block of its own), hashed at a time, and dealt to a bucket on average.
+BLOCK, SLICE, SHARE = 1 << 22, 1 << 20, 1 << 24
+#: Perfect difference sets by their period; any two residues differ by a difference of two members.
+COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+#: A second table of random bytes, for names of more than 64 bits.
+_OTHER = mix(np.arange(1001, 1257, dtype=np.uint64) * _STEP)
 
 
-class Block:
-    """Texts of some documents, in one buffer, and their runs: the different ones in order, and the one of each run."""
+class Cover:
+    """The longest period that leaves two fifths of the width, or nearly, to the sampled tuples."""
 
-    def __init__(self, ids: list[int | None], sizes: list[int], text: bytes, width: int, gram: int):
-        self.buf, self.ends = np.frombuffer(text, dtype=np.uint8), np.cumsum(np.array(sizes, dtype=np.int64))
-        ords = np.array([LEAST if i is None else i for i in ids], dtype=np.int64)
-        self.low, self.content, doc, self.start, self.count = runs(self.buf, self.ends, width, gram)
-        self.ord = ords[doc]
-        order, new = _groups(self.ord, self.content, self.low)
-        self.unique = order[new]
-        self.group = np.empty(len(order), dtype=np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.later = self.ord > self.ord[self.unique][self.group]  # a smaller document of the block has the same run
+    def __init__(self, width: int):
+        self.width, self.period = width, max(v for v in COVERS if 5 * v <= 3 * width + 5 or v == 1)
+        self.tuple = width - self.period + 1
+        self.sampled = np.isin(np.arange(self.period), COVERS[self.period])
 
 
-def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
-    return ((low >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+class Block:
+    """Texts of some documents in order of their ids, in one buffer."""
+
+    def __init__(self, ids: list[int | None], sizes: list[int], text: bytes):
+        self.buf = np.frombuffer(_unpacked(text, sum(sizes)), dtype=np.uint8)
+        self.size = np.array(sizes, dtype=np.int64)
+        self.ends = np.cumsum(self.size)
+        self.ord = np.array([LEAST if i is None else i for i in ids], dtype=np.int64)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The documents of some places."""
+        return np.searchsorted(self.ends, at, "right")
+
+    def places(self, cover: Cover) -> np.ndarray:
+        """Sampled places, counted from each document's start, that a whole tuple follows."""
+        start = np.repeat(self.ends - self.size, self.size)
+        at = np.arange(len(self.buf))
+        good = cover.sampled[(at - start) % cover.period]
+        good &= at + cover.tuple <= np.repeat(self.ends, self.size)
+        return np.flatnonzero(good)
+
+    def hashes(self, at: np.ndarray, length: int | np.ndarray, table: np.ndarray = _BYTES) -> np.ndarray:
+        """Hashes of the strings of some lengths at some places, which are in order."""
+        out, most = np.empty(len(at), np.uint64), int(np.max(length, initial=0))
+        for lo in range(0, len(self.buf), SLICE):
+            i, j = np.searchsorted(at, (lo, lo + SLICE))
+            if i < j:
+                part = self.buf[lo : lo + SLICE + most]
+                up, down = _powers(len(part) + 1)
+                summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[part] * up[: len(part)])])
+                first, n = at[i:j] - lo, length if isinstance(length, int) else length[i:j]
+                out[i:j] = mix((summed[first + n] - summed[first]) * down[first])
+        return out
+
+
+class Groups:
+    """Equal keys: the order by key, each key's first and last place (documents are in order of their ids), and the
+    group of each place. check: a second key, held against the first one's neighbours."""
+
+    def __init__(self, key: np.ndarray, check: np.ndarray | None = None):
+        order = np.argsort(key)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        if check is not None:
+            new[1:] |= check[order][1:] != check[order][:-1]
+        starts = np.flatnonzero(new)
+        self.first = np.minimum.reduceat(order, starts) if len(starts) else order
+        self.last = np.maximum.reduceat(order, starts) if len(starts) else order
+        self.of = np.empty(len(key), dtype=np.int64)
+        self.of[order] = np.cumsum(new) - 1
 
 
 def _packed(data: bytes) -> bytes:
@@ -108,24 +99,31 @@ def _unpacked(data: bytes, size: int) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def _rest(low: np.ndarray) -> bytes:
-    """The half of the minimizers that the bucket doesn't tell; two that share it are told apart by their runs' bytes."""
-    return low.astype(np.uint32).tobytes()
+def _lanes(x: np.ndarray) -> bytes:
+    """Numbers by byte, all first bytes, all second bytes and so on: those that are alike compress well."""
+    return _packed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unlanes(data: bytes, n: int, dtype: type) -> np.ndarray:
+    raw = np.frombuffer(_unpacked(data, n * np.dtype(dtype).itemsize), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
+
 
+def _rising(x: np.ndarray) -> bytes:
+    """Numbers in order, as their differences."""
+    return _lanes(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
 
-def _narrow(ords: np.ndarray) -> tuple[int, bytes]:
-    """Ids as their smallest and the differences to it, in 4 bytes each where these suffice."""
-    least = int(ords.min())
-    off = ords.astype(np.uint64) - np.uint64(least % (1 << 64))
-    return least, (off.astype(np.uint32) if int(off.max()) < 1 << 32 else off).tobytes()
 
+def _unrising(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unlanes(data, n, np.uint64), dtype=np.uint64)
 
-def _wide(least: int, data: bytes, n: int) -> np.ndarray:
-    return (np.frombuffer(data, dtype=np.uint32 if len(data) == 4 * n else np.uint64).astype(np.uint64) + np.uint64(least % (1 << 64))).astype(np.int64)
 
+def _bits(x: np.ndarray) -> bytes:
+    return _packed(np.packbits(x).tobytes())
 
-def _deal(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartitionById(buckets, F.col("bucket")) if hasattr(df, "repartitionById") else df.repartition(buckets, "bucket")
+
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(_unpacked(data, -(-n // 8)), np.uint8), count=n).astype(bool)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -138,15 +136,143 @@ def _batch(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.values())], names=list(schema))
 
 
-def _joined(parts: list[bytes] | None, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or ()), dtype=dtype)
-
-
-def _runs_schema() -> dict[str, pa.DataType]:
-    return {"bucket": pa.int32(), "block": pa.int64(), "base": pa.int32(), "low": pa.binary(), "content": pa.binary(), "least": pa.int64(), "ords": pa.binary()}
-
-
-def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _schema(text: str) -> dict[str, pa.DataType]:
+    return {name: _TYPES[kind] for name, kind in (part.split() for part in text.split(", "))}
+
+
+#: What a block sends to a bucket: so many keys in order, the block's keys before them, and facts of the keys;
+#: or, with `bucket` -1, what the block's next step needs. What a bucket answers: up to two facts of each of these keys.
+SENT = "bucket int, block long, base int, n int, keys binary, facts binary, more binary, kind int"
+ANSWERED = "block long, base int, n int, yes binary, also binary"
+
+
+def _dealt(keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the ranges that hold some of the keys, which are in order and have so many bits."""
+    bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield k, int(cuts[k]), int(cuts[k + 1])
+
+
+class Bucket:
+    """All keys that blocks have sent to a bucket, merged: the order by key and where each group begins."""
+
+    def __init__(self, found: list[tuple], check: list[np.ndarray] | None = None):
+        self.found, self.sizes = found, [x[2] for x in found]
+        key = np.concatenate([_unrising(x[3], x[2]) for x in found])
+        self.order = np.argsort(key, kind="stable")  # merges the blocks' sorted runs
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[self.order][1:] != key[self.order][:-1]
+        if check is not None:
+            second = np.concatenate(check)[self.order]
+            new[1:] |= second[1:] != second[:-1]
+        self.starts = np.flatnonzero(new)
+        self.counts = np.diff(np.append(self.starts, len(key)))
+
+    def column(self, parts: Iterator[np.ndarray]) -> np.ndarray:
+        return np.concatenate(list(parts))[self.order]
+
+    def least_of_others(self, x: np.ndarray) -> np.ndarray:
+        """By place in the order, the least of the group's other values."""
+        nth = np.repeat(np.arange(len(self.starts)), self.counts)
+        least = np.minimum.reduceat(x, self.starts)[nth]
+        rest = np.where(x == least, np.iinfo(x.dtype).max, x)
+        second = np.minimum.reduceat(rest, self.starts)[nth]
+        alone = np.add.reduceat((x == least).astype(np.int64), self.starts)[nth] == 1
+        return np.where((x == least) & alone, second, least)
+
+    def answers(self, *facts: np.ndarray) -> pa.RecordBatch:
+        """Facts by place in the order, sent back to the keys' blocks."""
+        back = []
+        for fact in facts:
+            own = np.empty(len(fact), dtype=bool)
+            own[self.order] = fact
+            back.append(own)
+        ends, out = np.cumsum(self.sizes).tolist(), []
+        for x, hi in zip(self.found, ends):
+            part = [f[hi - x[2] : hi] for f in back]
+            if any(p.any() for p in part):
+                out.append((x[0], x[1], x[2], *(_bits(p) for p in part), *[None] * (2 - len(part))))
+        return _batch(_schema(ANSWERED), out)
+
+
+def _heard(answers: list[dict] | None, n: int, of: str = "yes") -> np.ndarray:
+    """A fact of a block's n keys from the buckets' answers; those without an answer have it not."""
+    out = np.zeros(n, dtype=bool)
+    for x in answers or ():
+        out[x["base"] : x["base"] + x["n"]] = _unbits(x[of], x["n"])
+    return out
+
+
+def _later(b: Block, at: np.ndarray, groups: Groups) -> np.ndarray:
+    """Whether a smaller document of the block has the same key."""
+    own = b.ord[b.of(at)]
+    return own > own[groups.first][groups.of]
+
+
+def _again(b: Block, at: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places with repeated tuples those a period before another in the same document, and the names of both
+    tuples together, in two parts."""
+    repeated = np.zeros(len(b.buf) + cover.period + 1, dtype=bool)
+    repeated[at] = True
+    here = at[repeated[at + cover.period]]
+    here = here[here + cover.period + cover.tuple <= b.ends[b.of(here)]]
+    whole = cover.period + cover.tuple
+    return here, b.hashes(here, whole), (b.hashes(here, whole, _OTHER) >> np.uint64(32)).astype(np.uint32)
+
+
+def _around(b: Block, at: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes, less than a period, the document has before the tuple at a place and after it."""
+    doc, most = b.of(at), cover.period - 1
+    return np.minimum(most, at - (b.ends - b.size)[doc]), np.minimum(most, b.ends[doc] - at - cover.tuple)
+
+
+def _judge_strings(found: list[tuple], cover: Cover, most: int = 250_000) -> np.ndarray:
+    """By context a bit for each string of `width` bytes over its tuple that a smaller document has, too. Equal strings
+    over equal tuples are brought together by their hashes; neighbours are then compared byte by byte."""
+    side, width = cover.period - 1, cover.width
+    span = width + side
+    context = np.concatenate([np.frombuffer(_unpacked(x[4], x[2] * span), np.uint8).reshape(x[2], span) for x in found])
+    facts = [np.frombuffer(_unpacked(x[5], 10 * x[2]), np.uint8) for x in found]
+    ords = np.concatenate([f[: 8 * x[2]].view(np.int64) for f, x in zip(facts, found)])
+    before, after = (np.concatenate([f[k * x[2] : (k + 1) * x[2]] for f, x in zip(facts, found)]) for k in (8, 9))
+    up, down = _powers(span + 1)
+    masks = np.zeros(len(ords), dtype=np.uint32)
+
+    def summed(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), span + 1), dtype=np.uint64)
+        np.cumsum(_BYTES[context[rows]] * up[:span], axis=1, out=out[:, 1:])
+        return out
+
+    parts = len(ords) // most + 1
+    share = np.zeros(len(ords), dtype=np.int64)
+    for lo in range(0, len(ords) if parts > 1 else 0, most):  # equal tuples go to the same part
+        rows = np.arange(lo, min(lo + most, len(ords)))
+        s = summed(rows)
+        share[rows] = (mix((s[:, side + cover.tuple] - s[:, side]) * down[side]) % np.uint64(parts)).astype(np.int64)
+    for part in range(parts):
+        mine = np.flatnonzero(share == part)
+        s = summed(mine)
+        for off in range(cover.period):
+            able = np.flatnonzero((before[mine] >= off) & (after[mine] >= side - off))
+            lo = side - off
+            key = mix((s[able, lo + width] - s[able, lo]) * down[lo])
+            order = np.argsort(key)
+            rows = mine[able[order]]
+            new = np.ones(len(rows), dtype=bool)
+            alike = np.flatnonzero(key[order][1:] == key[order][:-1])
+            new[1 + alike] = (context[rows[alike + 1], lo : lo + width] != context[rows[alike], lo : lo + width]).any(axis=1)
+            starts = np.flatnonzero(new)
+            if len(starts) < len(rows):
+                least = np.repeat(np.minimum.reduceat(ords[rows], starts), np.diff(np.append(starts, len(rows))))
+                masks[rows[ords[rows] > least]] |= np.uint32(1 << off)
+    return masks
+
+
+def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256.
 
     A byte goes if a string of `width` bytes over it also starts in a document with a smaller id, judged on
@@ -154,175 +280,230 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 16, id_col: st
     each other's bytes. Repeated rows have repeated results; other columns are ignored; an empty table gives
     an empty result.
 
-    1. Rows are written as blocks of texts. Of a block's runs of strings with one minimizer, each different
-       one goes to its minimizer's bucket once, with its smallest document; later ones are cut in the block.
-    2. A bucket tells the blocks which runs a smaller document has (these are cut whole) and which share
-       their minimizer with different runs. The bytes of the latter go to their buckets.
-    3. There equal strings are found among them; all but the smallest document's are cut.
-    Records are packed by block and bucket; a run that all documents have is one record a block."""
+    1. Rows are written as blocks of texts. Each block sends the names of its different sampled tuples, in order, to
+       the buckets that hold their ranges; a bucket merges them and tells the blocks which names other blocks have,
+       too, and whether a smaller document may (ids are told apart by 256 quantiles here).
+    2. Of names found again, those a period apart are named in pairs, sent and merged in the same way. A pair that a
+       smaller document has covers more than `width` bytes, which go.
+    3. A place whose tuple a smaller document may have, and around which some bytes aren't settled yet, asks; blocks
+       with the same tuple answer. Both send the bytes around it, each different context once, to the tuple's bucket.
+    4. There the strings over the tuple are compared, and those that a smaller document has, go.
+    Names have so many bits that chance makes few places ask in vain; pairs have 96 bits, so that no two different ones of
+    a corpus of 100 TB are likely to be taken for the same; all other strings are compared byte by byte."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark), shuffle_partitions(spark)
+    scratch, cover = Scratch(spark), Cover(width)
+    side, whole = cover.period - 1, cover.period + cover.tuple
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "text": pa.binary()}
-        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            held.sort(key=lambda x: LEAST if x[0] is None else x[0])
+            return _batch(schema, [(block, [i for i, _ in held], [len(t) for _, t in held], _packed(b"".join([t for _, t in held])))])
+
         for doc_id, text in _rows(batches):
             text = text or b""
-            if ids and size + len(text) > BLOCK:
-                yield _batch(schema, [(block, ids, [len(t) for t in texts], _packed(b"".join(texts)))])
-                block, ids, texts, size = block + 1, [], [], 0
-            ids.append(doc_id)
-            texts.append(text)
+            if held and size + len(text) > BLOCK:
+                yield out()
+                block, held, size = block + 1, [], 0
+            held.append((doc_id, text))
             size += len(text)
-        if ids:
-            yield _batch(schema, [(block, ids, [len(t) for t in texts], _packed(b"".join(texts)))])
+        if held:
+            yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = scratch.write(rows.mapInArrow(pack, "block long, ids array<long>, sizes array<long>, text binary"), "blocks")
+    packed = scratch.write(rows.mapInArrow(pack, "block long, ids array<long>, sizes array<long>, text binary"), "packed")
+    total = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(spark), -(-total // SHARE))
+    bits = min(64, max(40, total.bit_length() + 10))
+    blocks = scratch.bucketed(packed, "blocks", buckets, "block")
+    scratch.drop("packed")
+    scratch.release()
+    cuts = np.unique(np.array(rows.approxQuantile("doc_id", [k / 256 for k in range(1, 256)], 0.001)))
+    rank = lambda ords: np.searchsorted(cuts, ords.astype(np.float64), "right").astype(np.uint8)
 
-    def deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(b: Block, at: np.ndarray) -> np.ndarray:
+        return b.hashes(at, cover.tuple) >> np.uint64(64 - bits)
+
+    def sent(block: int, keys: np.ndarray, own_bits: int, facts) -> list[tuple]:
+        return [(k, block, lo, hi - lo, _rising(keys[lo:hi]), *facts(lo, hi), 0) for k, lo, hi in _dealt(keys, own_bits, buckets)]
+
+    def send_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, sizes, text in _rows(batches):
-            text = _unpacked(text, sum(sizes))
-            b = Block(ids, sizes, text, width, gram)
-            low, content, ords = (x[b.unique] for x in (b.low, b.content, b.ord))
-            cuts = np.searchsorted(_bucket(low, buckets), np.arange(buckets + 1))
-            out = [(k, block, lo, _rest(low[lo:hi]), content[lo:hi].tobytes(), *_narrow(ords[lo:hi])) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if lo < hi]
-            yield _batch(_runs_schema(), out)
-
-    def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_rows(batches))
-        if not found:
-            return
-        low, content = (np.concatenate([np.frombuffer(x[k], dtype=kind) for x in found]) for k, kind in ((3, np.uint32), (4, np.uint64)))
-        sizes = np.array([len(x[3]) // 4 for x in found])
-        ords = np.concatenate([_wide(x[5], x[6], n) for x, n in zip(found, sizes.tolist())])
-        order, new = _groups(ords, content, low)
-        first = np.empty(len(order), dtype=np.int64)
-        first[order] = ords[order][_firsts(new)]
-        new_low = np.concatenate([[True], np.diff(low[order]) != 0])
-        nth = np.cumsum(new_low) - 1
-        at = np.flatnonzero(new_low)
-        several = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(ords[order], at) < np.maximum.reduceat(ords[order], at))
-        apart = np.empty(len(order), dtype=bool)
-        apart[order] = several[nth]
-        cut = ords > first
-        apart &= ~cut
-        out, ends = [], np.cumsum(sizes)
-        for x, lo, hi in zip(found, (ends - sizes).tolist(), ends.tolist()):
-            own = [(np.flatnonzero(y[lo:hi]) + x[2]).astype(np.uint32).tobytes() for y in (cut, apart)]
-            if own[0] or own[1]:
-                out.append((x[1], *own))
-        yield _batch({"block": pa.int64(), "cut": pa.binary(), "apart": pa.binary()}, out)
-
-    dealt = _deal(blocks.select("block", "ids", "sizes", "text").mapInArrow(deal_runs, "bucket int, block long, base int, low binary, content binary, least long, ords binary"), buckets)
-    judged = scratch.write(dealt.mapInArrow(judge_runs, "block long, cut binary, apart binary"), "judged")
+            b = Block(ids, sizes, text)
+            at = b.places(cover)
+            names = named(b, at)
+            groups = Groups(names)
+            ranks = rank(b.ord[b.of(at[groups.first])])
+            yield _batch(_schema(SENT), sent(block, names[groups.first], bits, lambda lo, hi: (_lanes(ranks[lo:hi]), None)))
+
+    def judge_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(_rows(batches)):
+            bucket = Bucket(found)
+            ranks = bucket.column(_unlanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
+            yield bucket.answers(np.repeat(bucket.counts > 1, bucket.counts), bucket.least_of_others(ranks) <= ranks)
+
+    def to_buckets(frame: DataFrame) -> DataFrame:
+        dealt = frame.select("bucket", "block", "base", "n", "keys", "facts", "more")
+        dealt = dealt.repartitionById(buckets, F.col("bucket")) if hasattr(dealt, "repartitionById") else dealt.repartition(buckets, "bucket")
+        return dealt.select("block", "base", "n", "keys", "facts", "more")
+
+    def answered(answers: DataFrame, own: DataFrame | None = None) -> DataFrame:
+        """The blocks with the answers that they got and what they kept of the step before."""
+        told = answers.groupBy("block").agg(F.collect_list(F.struct(*(c for c in answers.columns if c != "block"))).alias("answers"))
+        out = blocks.join(told.hint("merge"), "block", "left")
+        if own is not None:
+            out = out.join(own.select("block", F.col("n").alias("own_n"), F.col("keys").alias("own_keys"), F.col("facts").alias("own_facts"), F.col("more").alias("own_more")).hint("merge"), "block", "left")
+        return out.select("block", "ids", "sizes", "text", "answers", *(("own_n", "own_keys", "own_facts", "own_more") if own is not None else ()))
+
+    def step(frame: DataFrame, send, name: str) -> tuple[DataFrame, DataFrame]:
+        """Writes what blocks send and what they keep."""
+        made = scratch.write(frame.mapInArrow(send, SENT), name, "kind")
+        scratch.release()
+        return made.filter("kind = 0"), made.filter("kind = 1")
+
+    # 1. names of sampled tuples
+    answers = scratch.write(to_buckets(blocks.select("block", "ids", "sizes", "text").mapInArrow(send_tuples, SENT)).mapInArrow(judge_tuples, ANSWERED), "tuples")
     scratch.release()
 
-    def merged(replies: DataFrame, *columns: str) -> DataFrame:
-        lists: list[Column] = [F.collect_list(c).alias(c) for c in columns]
-        return replies.groupBy("block").agg(*lists)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _runs_schema() | {"kind": pa.int32()}
-        for block, ids, sizes, text, cut, apart in _rows(batches):
-            text = _unpacked(text, sum(sizes))
-            b = Block(ids, sizes, text, width, gram)
-            state = np.zeros(len(b.unique), dtype=np.int8)
-            state[_joined(cut, np.uint32)] = 1
-            state[_joined(apart, np.uint32)] = 2
-            own = state[b.group]
-            gone = b.later | (own == 1)
-            out = [(0, block, 0, b.start[gone].astype(np.int64).tobytes(), b.count[gone].astype(np.uint8).tobytes(), 0, b"", 1)]
-            part = np.flatnonzero(~gone & (own == 2))
-            out.append((0, block, 0, b.start[part].astype(np.int64).tobytes(), b.group[part].astype(np.uint32).tobytes(), 0, b"", 2))
-            wanted = np.flatnonzero(state == 2)
-            at = b.unique[wanted]
-            cuts = np.searchsorted(_bucket(b.low[at], buckets), np.arange(buckets + 1))
-            for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if lo < hi:
-                    w = at[lo:hi]
-                    body = b"".join(text[s : s + n] for s, n in zip(b.start[w].tolist(), (b.count[w] + width - 1).tolist()))
-                    least, ords = _narrow(b.ord[w])
-                    out.append((k, block, 0, wanted[lo:hi].astype(np.uint32).tobytes() + b.count[w].astype(np.uint8).tobytes() + _rest(b.low[w]), _packed(body), least, ords, 0))
-            yield _batch(schema, out)
+    # 2. names of pairs
+    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, text, answers in _rows(batches):
+            b = Block(ids, sizes, text)
+            at = b.places(cover)
+            groups = Groups(named(b, at))
+            own = b.ord[b.of(at)]
+            again = (_heard(answers, len(groups.first)) | (own[groups.last] > own[groups.first]))[groups.of]
+            smaller = _later(b, at, groups) | _heard(answers, len(groups.first), "also")[groups.of]
+            at, smaller = at[again], smaller[again]
+            out = [(-1, block, 0, len(at), _rising(at), _bits(smaller), None, 1)]
+            here, name, check = _again(b, at, cover)
+            groups = Groups(name, check)
+            name, check, ranks = name[groups.first], check[groups.first], rank(b.ord[b.of(here[groups.first])])
+            yield _batch(_schema(SENT), out + sent(block, name, 64, lambda lo, hi: (_lanes(ranks[lo:hi]), _packed(check[lo:hi].tobytes()))))
+
+    def judge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(_rows(batches)):
+            bucket = Bucket(found, [np.frombuffer(_unpacked(x[5], 4 * x[2]), np.uint32) for x in found])
+            ranks = bucket.column(_unlanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
+            yield bucket.answers(bucket.least_of_others(ranks) < ranks)
+
+    pairs, repeated = step(answered(answers), send_pairs, "pairs")
+    scratch.drop("tuples")
+    answers = scratch.write(to_buckets(pairs).mapInArrow(judge_pairs, ANSWERED), "pair-answers")
+    scratch.release()
 
-    answered = blocks.join(merged(judged, "cut", "apart").hint("merge"), "block", "left").select("block", "ids", "sizes", "text", "cut", "apart")
-    marked = scratch.write(answered.mapInArrow(mark, "bucket int, block long, base int, low binary, content binary, least long, ords binary, kind int"), "marked", "kind")
-    scratch.drop("judged")
+    # 3. places that ask, and contexts
+    def send_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, text, answers, n, at, smaller, _ in _rows(batches):
+            b, at, smaller = Block(ids, sizes, text), _unrising(at, n).astype(np.int64), _unbits(smaller, n)
+            here, name, check = _again(b, at, cover)
+            groups = Groups(name, check)
+            gone = here[_later(b, here, groups) | _heard(answers, len(groups.first))[groups.of]]
+            edge = np.zeros(len(b.buf) + 1, dtype=np.int32)
+            np.add.at(edge, gone, 1)
+            np.subtract.at(edge, gone + whole, 1)
+            open_bytes = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) == 0)])
+            before, after = _around(b, at, cover)
+            first, end = at - before, at + cover.tuple + after
+            asks = smaller & (end - first >= width) & (open_bytes[end] > open_bytes[first])
+            out = [(-1, block, 0, n, _rising(gone), _bits(asks), len(gone).to_bytes(8, "little") + _rising(at), 1)]
+            names = named(b, at)
+            groups = Groups(names)
+            asked = np.zeros(len(groups.first), dtype=bool)
+            asked[groups.of[asks]] = True
+            yield _batch(_schema(SENT), out + sent(block, names[groups.first], bits, lambda lo, hi: (_bits(asked[lo:hi]), None)))
+
+    def judge_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(_rows(batches)):
+            bucket = Bucket(found)
+            asked = bucket.column(_unbits(x[4], x[2]) for x in found)
+            yield bucket.answers(np.repeat(np.logical_or.reduceat(asked, bucket.starts), bucket.counts))
+
+    asks, kept = step(answered(answers, repeated), send_asks, "asks")
+    scratch.drop("pairs", "pair-answers")
+    answers = scratch.write(to_buckets(asks).mapInArrow(judge_asks, ANSWERED), "ask-answers")
     scratch.release()
 
-    def judge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_rows(batches))
-        if not found:
-            return
-        sizes = np.array([len(x[1]) // 9 for x in found])
-        counts = np.concatenate([np.frombuffer(x[1], np.uint8, n, 4 * n) for x, n in zip(found, sizes.tolist())]).astype(np.int64)
-        low = np.concatenate([np.frombuffer(x[1][5 * n :], np.uint32) for x, n in zip(found, sizes.tolist())])
-        ords = np.concatenate([_wide(x[3], x[4], n) for x, n in zip(found, sizes.tolist())])
-        ends = np.cumsum(counts + width - 1)
-        bodies = np.diff(np.append(0, ends[np.cumsum(sizes) - 1])).tolist()
-        buf = np.frombuffer(b"".join(_unpacked(x[2], n) for x, n in zip(found, bodies)), dtype=np.uint8)
-        firsts, masks = ends - counts - width + 1, np.zeros(len(counts), dtype=np.uint64)
-        parts = int(counts.sum()) // (1 << 21) + 1
-        share = (mix(low.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        for k in range(parts):  # equal strings have equal minimizers, so that they are in one part
-            hashes, texts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for at, starts, end, text in _slices(ends, len(buf), width):
-                mine = share[text] == k
-                starts, text = starts[mine], text[mine]
-                hashes.append(mix(Rolling(buf[at:end]).of(starts, width)))
-                texts.append(text)
-                places.append(starts + at - firsts[text])
-            h, text, place = (np.concatenate(x) for x in (hashes, texts, places))
-            if not len(h):
-                continue
-            order, new = _groups(ords[text], h, low[text])
-            own = ords[text][order]
-            late = order[own > own[_firsts(new)]]
-            np.bitwise_or.at(masks, text[late], np.uint64(1) << place[late].astype(np.uint64))
-        out, upto = [], np.cumsum(sizes)
-        for x, n, hi in zip(found, sizes.tolist(), upto.tolist()):
-            some = masks[hi - n : hi]
-            if some.any():
-                out.append((x[0], np.frombuffer(x[1], np.uint32, n)[some != 0].tobytes(), some[some != 0].tobytes()))
-        yield _batch({"block": pa.int64(), "runs": pa.binary(), "masks": pa.binary()}, out)
-
-    strings = marked.filter("kind = 0").select("bucket", "block", "low", "content", "least", "ords")
-    found = _deal(strings, buckets).select("block", "low", "content", "least", "ords").mapInArrow(judge_strings, "block long, runs binary, masks binary")
-    found = scratch.write(found, "found")
+    def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, text, answers, n, gone, asks, at in _rows(batches):
+            b, asks = Block(ids, sizes, text), _unbits(asks, n)
+            n_gone, at = at[:8], _unrising(at[8:], n).astype(np.int64)
+            groups = Groups(named(b, at))
+            told = _heard(answers, len(groups.first))[groups.of]
+            at, asks = at[told], asks[told]
+            before, after = _around(b, at, cover)
+            key = mix(b.hashes(at - before, before + cover.tuple + after) ^ mix((before * cover.period + after).astype(np.uint64)))
+            groups = Groups(key)
+            later = _later(b, at, groups)
+            first = groups.first
+            name = named(b, at)[first]
+            order = np.argsort(name)  # contexts by their tuple's bucket
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            name, first = name[order], first[order]
+            spot = at[first][:, None] + np.arange(-side, width)
+            inside = (spot >= (at - before)[first][:, None]) & (spot < (at + cover.tuple + after)[first][:, None])
+            context = np.where(inside, b.buf[np.clip(spot, 0, max(0, len(b.buf) - 1))], 0).astype(np.uint8) if len(first) else np.zeros((0, span), np.uint8)
+            ords = b.ord[b.of(at[first])]
+            around = [x[first].astype(np.uint8) for x in (before, after)]
+            mine = np.concatenate([_u32(place[groups.of[asks]]), _u32(later[asks])])
+            out = [(-1, block, int.from_bytes(n_gone, "little"), int(asks.sum()), gone, _rising(at[asks]), _packed(mine.tobytes()), 1)]
+            for k, lo, hi in _dealt(name, bits, buckets):
+                facts = ords[lo:hi].tobytes() + b"".join(x[lo:hi].tobytes() for x in around)
+                out.append((k, block, lo, hi - lo, None, _packed(context[lo:hi].tobytes()), _packed(facts), 0))
+            yield _batch(_schema(SENT), out)
+
+    span = width + side
+    _u32 = lambda x: x.astype(np.uint32)
+
+    def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(_rows(batches)):
+            masks, at, out = _judge_strings(found, cover), 0, []
+            for block, base, n, *_ in found:
+                own = masks[at : at + n]
+                at += n
+                if own.any():
+                    out.append((block, base, n, _lanes(own), None))
+            yield _batch(_schema(ANSWERED), out)
+
+    contexts, kept = step(answered(answers, kept), send_contexts, "contexts")
+    scratch.drop("asks", "ask-answers")
+    answers = scratch.write(to_buckets(contexts).mapInArrow(judge_contexts, ANSWERED), "context-answers")
     scratch.release()
 
+    # 4. all that goes
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
-        for ids, sizes, text, start, count, part, group, own, masks in _rows(batches):
-            text = _unpacked(text, sum(sizes))
-            edge = np.zeros(len(text) + 1, dtype=np.int32)
-            first, n = np.frombuffer(start or b"", np.int64), np.frombuffer(count or b"", np.uint8).astype(np.int64)
-            np.add.at(edge, first, 1)
-            np.subtract.at(edge, first + n + width - 1, 1)
-            own, masks = _joined(own, np.uint32), _joined(masks, np.uint64)
-            part, group = np.frombuffer(part or b"", np.int64), np.frombuffer(group or b"", np.uint32)
-            if len(own):
-                order = np.argsort(own)
-                own, masks = own[order], masks[order]
-                at = np.minimum(np.searchsorted(own, group), len(own) - 1)
-                of = np.where(own[at] == group, masks[at], np.uint64(0))
-                for k in range(RUN):
-                    first = part[(of >> np.uint64(k)) & np.uint64(1) == 1] + k
-                    np.add.at(edge, first, 1)
-                    np.subtract.at(edge, first + width, 1)
-            off, buf = np.cumsum(edge[:-1]) > 0, np.frombuffer(text, dtype=np.uint8)
-            out, at = [], 0
+        for _, ids, sizes, text, answers, n_gone, n, gone, at, mine in _rows(batches):
+            b, gone, at = Block(ids, sizes, text), _unrising(gone, n_gone).astype(np.int64), _unrising(at, n).astype(np.int64)
+            place, later = np.frombuffer(_unpacked(mine, 8 * n), np.uint32).reshape(2, n)
+            masks = np.zeros(int(place.max()) + 1 if n else 1, dtype=np.uint32)
+            for x in answers or ():
+                own = _unlanes(x["yes"], x["n"], np.uint32)[: max(0, len(masks) - x["base"])]
+                masks[x["base"] : x["base"] + len(own)] = own
+            edge = np.zeros(len(b.buf) + 1, dtype=np.int32)
+
+            def cut(first: np.ndarray, length: int) -> None:
+                np.add.at(edge, first, 1)
+                np.subtract.at(edge, first + length, 1)
+
+            cut(gone, whole)
+            before, after = _around(b, at, cover)
+            of = masks[place] if n else np.zeros(0, np.uint32)
+            for off in range(cover.period):
+                able = (before >= off) & (after >= side - off)
+                cut(at[able & ((later == 1) | ((of >> np.uint32(off)) & np.uint32(1) == 1))] - off, width)
+            off, out, at = np.cumsum(edge[:-1]) > 0, [], 0
             for doc_id, size in zip(ids, sizes):
                 own_off = off[at : at + size]
-                kept = buf[at : at + size][~own_off].tobytes()
+                kept = b.buf[at : at + size][~own_off].tobytes()
                 spans = int(np.count_nonzero(own_off[1:] & ~own_off[:-1])) + bool(size and own_off[0])
                 out.append((doc_id, size, int(own_off.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
                 at += size
             yield _batch(schema, out)
 
-    whole = marked.filter("kind = 1").select("block", F.col("low").alias("start"), F.col("content").alias("count"))
-    part = marked.filter("kind = 2").select("block", F.col("low").alias("part"), F.col("content").alias("group"))
-    told = whole.join(part.hint("merge"), "block").join(merged(found, "runs", "masks").hint("merge"), "block", "left")
-    final = blocks.join(told.hint("merge"), "block", "left").select("ids", "sizes", "text", "start", "count", "part", "group", "runs", "masks")
-    return final.mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("base", "n", "yes")).alias("answers"))
+    final = blocks.join(told.hint("merge"), "block", "left").join(kept.select("block", F.col("base").alias("n_gone"), "n", "keys", "facts", "more").hint("merge"), "block", "left")
+    return final.select("block", "ids", "sizes", "text", "answers", "n_gone", "n", "keys", "facts", "more").mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

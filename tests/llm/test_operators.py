@@ -221,6 +221,8 @@ def test_lm_counts_and_gain(spark, sf, docs):
 
 def test_substrings_equal_brute_force(spark, sf, docs):
     got, seen = {r.doc_id: r for r in registered.queries()["op6_suffix_dedup"](spark, sf).collect()}, {}
+    apart = substring_dedup(spark.read.parquet(f"{sf}/documents.parquet").repartition(9)).drop("kept")  # a block for each part
+    assert {r.doc_id: r for r in apart.collect()} == got
     for d in sorted(docs):
         body = docs[d].encode()
         off = np.zeros(len(body) + 1, bool)
