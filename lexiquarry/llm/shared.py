@@ -10,6 +10,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,12 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str, by: Sequence[str] = (), dealt: bool = False) -> DataFrame:
         """The same as a table with a file for each bucket of the key, in the key's order: joins on the key and groups
-        by it read it without an exchange."""
+        by it read it without an exchange. by: partition columns. dealt: df is dealt by the key in this way already."""
         table = f"{os.path.basename(self.root)}-{name}".replace("-", "_")
-        dealt = df.repartition(buckets, key).sortWithinPartitions(key)
-        dealt.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        writer = (df if dealt else df.repartition(buckets, key)).write.option("compression", "zstd").option("path", f"{self.root}/{name}")
+        (writer.partitionBy(*by) if by else writer).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 

@@ -78,6 +78,44 @@ def test_odd_rows(spark, odd):
         assert stage(spark, odd, "").columns == odd.columns, name
 
 
+def test_exact_dedup_in_slices(spark, sf, same):
+    """The filter cut into slices gives the same rows."""
+    sliced = exact_dedup(spark.read.parquet(f"{sf}/documents.parquet"), bits_per_row=1024, max_filter_bits=1 << 15)
+    same(sliced, registered.oracle_sql()["op8_exact_dedup"])
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 5])
+def test_line_runs(spark, min_docs):
+    """Levelled runs against a count of documents: compacted twice, saturated in one batch and over several."""
+    rows = [(k, "\n".join(f"line {j}" for j in range(12) if k % (j + 1) == 0) + f"\nown {k}") for k in range(60)]
+    held = collections.Counter(x for _, t in rows for x in set(t.split("\n")))
+    for first in (False, True):
+        got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=min_docs, keep_first=first).collect()}
+        if not first:
+            assert got == {k: "\n".join(x for x in t.split("\n") if held[x] < min_docs) for k, t in rows}
+        else:
+            left = collections.Counter(x for t in got.values() for x in t.split("\n") if x)
+            assert left == {x: n if n < min_docs else 1 for x, n in held.items()}
+
+
+def test_line_runs_merge_without_exchange(spark):
+    """The plan of a batch against three runs, and of their compaction."""
+    from lexiquarry.llm.line_dedup import RunStore
+    from lexiquarry.llm.shared import Scratch
+
+    store = RunStore(Scratch(spark), 3, 9, 4)
+    batches = store.scratch.bucketed(spark.range(400).selectExpr("cast(cast(id % 90 as string) as binary) as key", "id", "cast(id % 4 as int) as batch").groupBy("batch", "key").agg(F.count("*").alias("n"), F.min("id").alias("id")), "counted", 4, "key", by=["batch"])
+    plans = []
+    store.scratch.bucketed, real = lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k), store.scratch.bucketed
+    for k in range(4):
+        store.add(batches.filter(F.col("batch") == k).select("key", "n", F.struct("batch", "id").alias("first")))
+    assert plans[3].count("SortMergeJoin") == 6 and "Exchange" not in plans[3] and "Sort " not in plans[3]
+    merged = store.runs()[0].unionByName(store.runs()[1]).groupBy("key").agg(F.max("n"))
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    want = collections.Counter(k % 90 for k in range(400))
+    assert {(bytes(r.key), r.n >= 3) for r in store.frequent().collect()} == {(str(k).encode(), True) for k, n in want.items() if n >= 3}
+
+
 def test_near_duplicates_equal_brute_force(spark, sf, docs):
     own = {d: (a[1], a[2]) for d, t in docs.items() for a in [weighted_shingles(*word_hashes([t]))]}
     parent = {d: d for d in docs}
