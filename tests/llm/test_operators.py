@@ -15,7 +15,7 @@ from lexiquarry.llm import queries as registered
 from lexiquarry.llm.class_lm import class_lm_scores, exchange
 from lexiquarry.llm.decontamination import _WORD, ItemIndex, decontaminate, find_contamination, shingles
 from lexiquarry.llm.exact_dedup import exact_dedup
-from lexiquarry.llm.html_extraction import extract_pages
+from lexiquarry.llm.html_extraction import Slot, extract_pages, matching, merge, weight
 from lexiquarry.llm.language_id import fit, identify, train, training_row
 from lexiquarry.llm.line_dedup import line_dedup
 from lexiquarry.llm.near_dedup import block_links, near_dedup, near_duplicates, prob_minhash, probability_jaccard, weighted_shingles, word_hashes
@@ -336,7 +336,7 @@ def test_html(spark, sf):
     rows = [(i, "http://h.example/p", None if b is None else _page(b, f"t{i}")) for i, (b, _) in enumerate(bodies)] + [(9, None, "plain text <b>only</b>")]
     for limit in (1 << 25, 0):
         got = {r.page_id: r for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("template", F.lit(1)), max_broadcast=limit).collect()}
-        assert got[0].text.removesuffix("\nAll rights reserved.") == bodies[0][1] and got[1].text.removesuffix("\nAll rights reserved.") == bodies[1][1]
+        assert got[0].text == bodies[0][1] + "\nAll rights reserved." and got[1].text == bodies[1][1] + "\nAll rights reserved."  # on two of four contents
         assert got[4].text == "" and got[9].text == "plain text only" and all(r.n_chars == len(r.text) for r in got.values())
     for r in spark.read.parquet(f"{sf}/pages.parquet").join(registered.queries()["op3_html_extraction"](spark, sf).drop("url"), "page_id").collect():
         import html
@@ -380,6 +380,50 @@ def test_html_mixed_layouts(spark):
         assert got == {i: t for i, (_, t) in enumerate(bodies)}
 
 
+def test_html_constant_and_varying_siblings(spark):
+    """Neighbours with one key: what all pages have goes, what varies stays, wherever it stands; headings of the article
+    stay; elements of an article whose names only look like those of side parts stay; so does a single page's text."""
+    body = lambda k, n: f"<article><h1>The daily letter</h1><p>By our own staff.</p><h2>Summary</h2>{''.join(f'<p>story {k} part {j}, told at length</p>' for j in range(n))}<p>Share this!</p><div class='related-work'><h2>Related work</h2><p>others {k} did</p></div><div class='tags-and-promo'><p>kinds of {k}</p></div><div class='ad-box'>buy {k}</div><section class='comments'><p>so says {k}</p></section><p>All rights reserved.</p></article>"
+    want = lambda k, n: "\n".join(["The daily letter", "Summary", *(f"story {k} part {j}, told at length" for j in range(n)), "Related work", f"others {k} did", f"kinds of {k}"])
+    for pages in (2, 3, 5, 40):
+        rows = [(k, "http://s.example/p", _page(body(k, 2 + k % 4), f"t{k}")) for k in range(pages)]
+        got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+        assert got == {k: want(k, 2 + k % 4) for k in range(pages)}, pages
+    alone = extract_pages(spark.createDataFrame([(1, "http://s.example/p", _page(body(1, 2)))], "page_id long, url string, html string")).collect()[0].text
+    assert alone.startswith("The daily letter\nBy our own staff.\nSummary\nstory 1") and alone.endswith("All rights reserved.")
+
+
+def test_html_deep_elements(spark):
+    """A menu and text far below the depth to which elements are aligned one by one."""
+    for depth in (150, 250, 3000):
+        deep = "<div>" * depth
+        rows = [(k, "http://d.example/p", _page(f"<article><h1>t{k}</h1>{deep}first {k}<nav><ul><li>menu {k}</li></ul></nav><p>second {k}</p>third {k}{'</div>' * depth}<p>last {k}</p></article>")) for k in range(4)]
+        got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: f"t{k}\nfirst {k}\nsecond {k}\nthird {k}\nlast {k}" for k in range(4)}, depth
+
+
+def test_html_matching_equals_all_matchings():
+    """Simple tree matching against every order-preserving pairing, on small random trees."""
+    import random
+
+    draw = random.Random(5)
+    tree = lambda d: Slot(draw.choice("abc"), [tree(d - 1) for _ in range(draw.randint(0, 3) if d else 0)])
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        pair = 1 + best(a[0].children, b[0].children) + best(a[1:], b[1:]) if a[0].key == b[0].key else 0
+        return max(pair, best(a[1:], b), best(a, b[1:]))
+
+    for _ in range(300):
+        x, y = Slot("r", [tree(2) for _ in range(3)]), Slot("r", [tree(2) for _ in range(3)])
+        assert weight(x, y, {}) == 1 + best(x.children, y.children)
+        pairs = matching(x.children, y.children, {})
+        assert sum(weight(x.children[i], y.children[j], {}) for i, j in pairs) == best(x.children, y.children)
+        nodes = lambda s: 1 + sum(nodes(c) for c in s.children)
+        assert nodes(merge(x, y)) == nodes(x) + nodes(y) - weight(x, y, {})
+
+
 def test_html_copies_are_no_template(spark):
     """What only the copies of one article have is its text; what most different pages of the host have is not."""
     end = "<footer class=x></footer><h6>All rights reserved.</h6>"
