@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import _BYTES, _STEP, _powers, mix
+from .packed import arrow_schema, deal, each_row, pack_bits, pack_bytes, pack_lanes, pack_rising, to_batch, unpack_bits, unpack_bytes, unpack_lanes, unpack_rising
 from .shared import Scratch, shuffle_partitions
 
 LEAST = -(1 << 63)
@@ -42,7 +43,7 @@ class Block:
     """Texts of some documents in order of their ids, in one buffer."""
 
     def __init__(self, ids: list[int | None], sizes: list[int], text: bytes):
-        self.buf = np.frombuffer(_unpacked(text, sum(sizes)), dtype=np.uint8)
+        self.buf = np.frombuffer(unpack_bytes(text, sum(sizes)), dtype=np.uint8)
         self.size = np.array(sizes, dtype=np.int64)
         self.ends = np.cumsum(self.size)
         self.ord = np.array([LEAST if i is None else i for i in ids], dtype=np.int64)
@@ -90,59 +91,6 @@ class Groups:
         self.of[order] = np.cumsum(new) - 1
 
 
-def _packed(data: bytes) -> bytes:
-    """Bytes compressed once, so that they stay small in tables and exchanges; whoever unpacks them knows their size."""
-    return pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-
-
-def _lanes(x: np.ndarray) -> bytes:
-    """Numbers by byte, all first bytes, all second bytes and so on: those that are alike compress well."""
-    return _packed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def _unlanes(data: bytes, n: int, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(_unpacked(data, n * np.dtype(dtype).itemsize), np.uint8)
-    return np.ascontiguousarray(raw.reshape(-1, n).T).view(dtype).ravel() if n else np.zeros(0, dtype)
-
-
-def _rising(x: np.ndarray) -> bytes:
-    """Numbers in order, as their differences."""
-    return _lanes(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
-
-
-def _unrising(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unlanes(data, n, np.uint64), dtype=np.uint64)
-
-
-def _bits(x: np.ndarray) -> bytes:
-    return _packed(np.packbits(x).tobytes())
-
-
-def _unbits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(_unpacked(data, -(-n // 8)), np.uint8), count=n).astype(bool)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in batch.columns)
-
-
-def _batch(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.values())], names=list(schema))
-
-
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-
-
-def _schema(text: str) -> dict[str, pa.DataType]:
-    return {name: _TYPES[kind] for name, kind in (part.split() for part in text.split(", "))}
-
-
 #: What a block sends to a bucket: so many keys in order, the block's keys before them, and facts of the keys;
 #: or, with `bucket` -1, what the block's next step needs. What a bucket answers: up to two facts of each of these keys.
 SENT = "bucket int, block long, base int, n int, keys binary, facts binary, more binary, kind int"
@@ -162,7 +110,7 @@ class Bucket:
 
     def __init__(self, found: list[tuple], check: list[np.ndarray] | None = None):
         self.found, self.sizes = found, [x[2] for x in found]
-        key = np.concatenate([_unrising(x[3], x[2]) for x in found])
+        key = np.concatenate([unpack_rising(x[3], x[2]) for x in found])
         self.order = np.argsort(key, kind="stable")  # merges the blocks' sorted runs
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[self.order][1:] != key[self.order][:-1]
@@ -195,15 +143,15 @@ class Bucket:
         for x, hi in zip(self.found, ends):
             part = [f[hi - x[2] : hi] for f in back]
             if any(p.any() for p in part):
-                out.append((x[0], x[1], x[2], *(_bits(p) for p in part), *[None] * (2 - len(part))))
-        return _batch(_schema(ANSWERED), out)
+                out.append((x[0], x[1], x[2], *(pack_bits(p) for p in part), *[None] * (2 - len(part))))
+        return to_batch(arrow_schema(ANSWERED), out)
 
 
 def _heard(answers: list[dict] | None, n: int, of: str = "yes") -> np.ndarray:
     """A fact of a block's n keys from the buckets' answers; those without an answer have it not."""
     out = np.zeros(n, dtype=bool)
     for x in answers or ():
-        out[x["base"] : x["base"] + x["n"]] = _unbits(x[of], x["n"])
+        out[x["base"] : x["base"] + x["n"]] = unpack_bits(x[of], x["n"])
     return out
 
 
@@ -235,8 +183,8 @@ def _judge_strings(found: list[tuple], cover: Cover, most: int = 250_000) -> np.
     over equal tuples are brought together by their hashes; neighbours are then compared byte by byte."""
     side, width = cover.period - 1, cover.width
     span = width + side
-    context = np.concatenate([np.frombuffer(_unpacked(x[4], x[2] * span), np.uint8).reshape(x[2], span) for x in found])
-    facts = [np.frombuffer(_unpacked(x[5], 10 * x[2]), np.uint8) for x in found]
+    context = np.concatenate([np.frombuffer(unpack_bytes(x[4], x[2] * span), np.uint8).reshape(x[2], span) for x in found])
+    facts = [np.frombuffer(unpack_bytes(x[5], 10 * x[2]), np.uint8) for x in found]
     ords = np.concatenate([f[: 8 * x[2]].view(np.int64) for f, x in zip(facts, found)])
     before, after = (np.concatenate([f[k * x[2] : (k + 1) * x[2]] for f, x in zip(facts, found)]) for k in (8, 9))
     up, down = _powers(span + 1)
@@ -300,9 +248,9 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
         def out() -> pa.RecordBatch:
             held.sort(key=lambda x: LEAST if x[0] is None else x[0])
-            return _batch(schema, [(block, [i for i, _ in held], [len(t) for _, t in held], _packed(b"".join([t for _, t in held])))])
+            return to_batch(schema, [(block, [i for i, _ in held], [len(t) for _, t in held], pack_bytes(b"".join([t for _, t in held])))])
 
-        for doc_id, text in _rows(batches):
+        for doc_id, text in each_row(batches):
             text = text or b""
             if held and size + len(text) > BLOCK:
                 yield out()
@@ -327,27 +275,26 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         return b.hashes(at, cover.tuple) >> np.uint64(64 - bits)
 
     def sent(block: int, keys: np.ndarray, own_bits: int, facts) -> list[tuple]:
-        return [(k, block, lo, hi - lo, _rising(keys[lo:hi]), *facts(lo, hi), 0) for k, lo, hi in _dealt(keys, own_bits, buckets)]
+        return [(k, block, lo, hi - lo, pack_rising(keys[lo:hi]), *facts(lo, hi), 0) for k, lo, hi in _dealt(keys, own_bits, buckets)]
 
     def send_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, text in _rows(batches):
+        for block, ids, sizes, text in each_row(batches):
             b = Block(ids, sizes, text)
             at = b.places(cover)
             names = named(b, at)
             groups = Groups(names)
             ranks = rank(b.ord[b.of(at[groups.first])])
-            yield _batch(_schema(SENT), sent(block, names[groups.first], bits, lambda lo, hi: (_lanes(ranks[lo:hi]), None)))
+            yield to_batch(arrow_schema(SENT), sent(block, names[groups.first], bits, lambda lo, hi: (pack_lanes(ranks[lo:hi]), None)))
 
     def judge_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := list(_rows(batches)):
+        if found := list(each_row(batches)):
             bucket = Bucket(found)
-            ranks = bucket.column(_unlanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
+            ranks = bucket.column(unpack_lanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
             yield bucket.answers(np.repeat(bucket.counts > 1, bucket.counts), bucket.least_of_others(ranks) <= ranks)
 
     def to_buckets(frame: DataFrame) -> DataFrame:
         dealt = frame.select("bucket", "block", "base", "n", "keys", "facts", "more")
-        dealt = dealt.repartitionById(buckets, F.col("bucket")) if hasattr(dealt, "repartitionById") else dealt.repartition(buckets, "bucket")
-        return dealt.select("block", "base", "n", "keys", "facts", "more")
+        return deal(dealt, buckets).select("block", "base", "n", "keys", "facts", "more")
 
     def answered(answers: DataFrame, own: DataFrame | None = None) -> DataFrame:
         """The blocks with the answers that they got and what they kept of the step before."""
@@ -369,7 +316,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     # 2. names of pairs
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, text, answers in _rows(batches):
+        for block, ids, sizes, text, answers in each_row(batches):
             b = Block(ids, sizes, text)
             at = b.places(cover)
             groups = Groups(named(b, at))
@@ -377,16 +324,16 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             again = (_heard(answers, len(groups.first)) | (own[groups.last] > own[groups.first]))[groups.of]
             smaller = _later(b, at, groups) | _heard(answers, len(groups.first), "also")[groups.of]
             at, smaller = at[again], smaller[again]
-            out = [(-1, block, 0, len(at), _rising(at), _bits(smaller), None, 1)]
+            out = [(-1, block, 0, len(at), pack_rising(at), pack_bits(smaller), None, 1)]
             here, name, check = _again(b, at, cover)
             groups = Groups(name, check)
             name, check, ranks = name[groups.first], check[groups.first], rank(b.ord[b.of(here[groups.first])])
-            yield _batch(_schema(SENT), out + sent(block, name, 64, lambda lo, hi: (_lanes(ranks[lo:hi]), _packed(check[lo:hi].tobytes()))))
+            yield to_batch(arrow_schema(SENT), out + sent(block, name, 64, lambda lo, hi: (pack_lanes(ranks[lo:hi]), pack_bytes(check[lo:hi].tobytes()))))
 
     def judge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := list(_rows(batches)):
-            bucket = Bucket(found, [np.frombuffer(_unpacked(x[5], 4 * x[2]), np.uint32) for x in found])
-            ranks = bucket.column(_unlanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
+        if found := list(each_row(batches)):
+            bucket = Bucket(found, [np.frombuffer(unpack_bytes(x[5], 4 * x[2]), np.uint32) for x in found])
+            ranks = bucket.column(unpack_lanes(x[4], x[2], np.uint8) for x in found).astype(np.int16)
             yield bucket.answers(bucket.least_of_others(ranks) < ranks)
 
     pairs, repeated = step(answered(answers), send_pairs, "pairs")
@@ -396,8 +343,8 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     # 3. places that ask, and contexts
     def send_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, text, answers, n, at, smaller, _ in _rows(batches):
-            b, at, smaller = Block(ids, sizes, text), _unrising(at, n).astype(np.int64), _unbits(smaller, n)
+        for block, ids, sizes, text, answers, n, at, smaller, _ in each_row(batches):
+            b, at, smaller = Block(ids, sizes, text), unpack_rising(at, n).astype(np.int64), unpack_bits(smaller, n)
             here, name, check = _again(b, at, cover)
             groups = Groups(name, check)
             gone = here[_later(b, here, groups) | _heard(answers, len(groups.first))[groups.of]]
@@ -408,17 +355,17 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             before, after = _around(b, at, cover)
             first, end = at - before, at + cover.tuple + after
             asks = smaller & (end - first >= width) & (open_bytes[end] > open_bytes[first])
-            out = [(-1, block, 0, n, _rising(gone), _bits(asks), len(gone).to_bytes(8, "little") + _rising(at), 1)]
+            out = [(-1, block, 0, n, pack_rising(gone), pack_bits(asks), len(gone).to_bytes(8, "little") + pack_rising(at), 1)]
             names = named(b, at)
             groups = Groups(names)
             asked = np.zeros(len(groups.first), dtype=bool)
             asked[groups.of[asks]] = True
-            yield _batch(_schema(SENT), out + sent(block, names[groups.first], bits, lambda lo, hi: (_bits(asked[lo:hi]), None)))
+            yield to_batch(arrow_schema(SENT), out + sent(block, names[groups.first], bits, lambda lo, hi: (pack_bits(asked[lo:hi]), None)))
 
     def judge_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := list(_rows(batches)):
+        if found := list(each_row(batches)):
             bucket = Bucket(found)
-            asked = bucket.column(_unbits(x[4], x[2]) for x in found)
+            asked = bucket.column(unpack_bits(x[4], x[2]) for x in found)
             yield bucket.answers(np.repeat(np.logical_or.reduceat(asked, bucket.starts), bucket.counts))
 
     asks, kept = step(answered(answers, repeated), send_asks, "asks")
@@ -427,9 +374,9 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     scratch.release()
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, text, answers, n, gone, asks, at in _rows(batches):
-            b, asks = Block(ids, sizes, text), _unbits(asks, n)
-            n_gone, at = at[:8], _unrising(at[8:], n).astype(np.int64)
+        for block, ids, sizes, text, answers, n, gone, asks, at in each_row(batches):
+            b, asks = Block(ids, sizes, text), unpack_bits(asks, n)
+            n_gone, at = at[:8], unpack_rising(at[8:], n).astype(np.int64)
             groups = Groups(named(b, at))
             told = _heard(answers, len(groups.first))[groups.of]
             at, asks = at[told], asks[told]
@@ -449,24 +396,24 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             ords = b.ord[b.of(at[first])]
             around = [x[first].astype(np.uint8) for x in (before, after)]
             mine = np.concatenate([_u32(place[groups.of[asks]]), _u32(later[asks])])
-            out = [(-1, block, int.from_bytes(n_gone, "little"), int(asks.sum()), gone, _rising(at[asks]), _packed(mine.tobytes()), 1)]
+            out = [(-1, block, int.from_bytes(n_gone, "little"), int(asks.sum()), gone, pack_rising(at[asks]), pack_bytes(mine.tobytes()), 1)]
             for k, lo, hi in _dealt(name, bits, buckets):
                 facts = ords[lo:hi].tobytes() + b"".join(x[lo:hi].tobytes() for x in around)
-                out.append((k, block, lo, hi - lo, None, _packed(context[lo:hi].tobytes()), _packed(facts), 0))
-            yield _batch(_schema(SENT), out)
+                out.append((k, block, lo, hi - lo, None, pack_bytes(context[lo:hi].tobytes()), pack_bytes(facts), 0))
+            yield to_batch(arrow_schema(SENT), out)
 
     span = width + side
     _u32 = lambda x: x.astype(np.uint32)
 
     def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := list(_rows(batches)):
+        if found := list(each_row(batches)):
             masks, at, out = _judge_strings(found, cover), 0, []
             for block, base, n, *_ in found:
                 own = masks[at : at + n]
                 at += n
                 if own.any():
-                    out.append((block, base, n, _lanes(own), None))
-            yield _batch(_schema(ANSWERED), out)
+                    out.append((block, base, n, pack_lanes(own), None))
+            yield to_batch(arrow_schema(ANSWERED), out)
 
     contexts, kept = step(answered(answers, kept), send_contexts, "contexts")
     scratch.drop("asks", "ask-answers")
@@ -476,12 +423,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     # 4. all that goes
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
-        for _, ids, sizes, text, answers, n_gone, n, gone, at, mine in _rows(batches):
-            b, gone, at = Block(ids, sizes, text), _unrising(gone, n_gone).astype(np.int64), _unrising(at, n).astype(np.int64)
-            place, later = np.frombuffer(_unpacked(mine, 8 * n), np.uint32).reshape(2, n)
+        for _, ids, sizes, text, answers, n_gone, n, gone, at, mine in each_row(batches):
+            b, gone, at = Block(ids, sizes, text), unpack_rising(gone, n_gone).astype(np.int64), unpack_rising(at, n).astype(np.int64)
+            place, later = np.frombuffer(unpack_bytes(mine, 8 * n), np.uint32).reshape(2, n)
             masks = np.zeros(int(place.max()) + 1 if n else 1, dtype=np.uint32)
             for x in answers or ():
-                own = _unlanes(x["yes"], x["n"], np.uint32)[: max(0, len(masks) - x["base"])]
+                own = unpack_lanes(x["yes"], x["n"], np.uint32)[: max(0, len(masks) - x["base"])]
                 masks[x["base"] : x["base"] + len(own)] = own
             edge = np.zeros(len(b.buf) + 1, dtype=np.int32)
 
@@ -502,7 +449,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                 spans = int(np.count_nonzero(own_off[1:] & ~own_off[:-1])) + bool(size and own_off[0])
                 out.append((doc_id, size, int(own_off.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
                 at += size
-            yield _batch(schema, out)
+            yield to_batch(schema, out)
 
     told = answers.groupBy("block").agg(F.collect_list(F.struct("base", "n", "yes")).alias("answers"))
     final = blocks.join(told.hint("merge"), "block", "left").join(kept.select("block", F.col("base").alias("n_gone"), "n", "keys", "facts", "more").hint("merge"), "block", "left")
