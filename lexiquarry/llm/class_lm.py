@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .near_dedup import _STEP, mix
+from .packed import arrow_schema, deal, each_row, pack_lanes, pack_rising, to_batch, unpack_lanes, unpack_rising
+from .shared import Scratch, shuffle_partitions
 
 #: Stands for the end of a document among tokens, which hold no space.
 END = b" "
@@ -54,46 +56,10 @@ def _ids(tokens: list[bytes], index: dict[bytes, int], other: int) -> np.ndarray
     return np.fromiter(map(index.get, tokens, repeat(other)), dtype=np.int64, count=len(tokens))
 
 
-def _tally(texts: DataFrame, code: Callable[[np.ndarray], np.ndarray], index, other: int, flush: int = 1_000_000) -> DataFrame:
-    """Sums over the corpus of the codes that `code` makes of documents' ids (each document ends with the end token)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = index.value, [], 0
-
-        def out() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held])
-            order, sums = np.unique(keys, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(order), pa.array(np.bincount(sums, weights=np.concatenate([c for _, c in held])).astype(np.int64))], names=["code", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                keys, sums = np.unique(code(_ids(tokens_of(batch, at)[0], words, other)), return_counts=True)
-                held.append((keys, sums))
-                n += len(keys)
-                if n > flush:
-                    merged = out()
-                    held, n = [(merged.column(0).to_numpy(), merged.column(1).to_numpy())], merged.num_rows
-                    if n > flush // 2:
-                        yield merged
-                        held, n = [], 0
-        if held:
-            yield out()
-
-    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _matrix(tally: DataFrame, rows: int, columns: int) -> np.ndarray:
-    """A bounded tally as a matrix on the driver."""
-    table, found = tally.toArrow(), np.zeros(rows * columns)
-    found[table.column("code").to_numpy()] = table.column("n").to_numpy()
-    return found.reshape(rows, columns)
-
-
-def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
     """Classes of all words but the last two of a word bigram matrix, which stay in classes of their own
     (all other words, the end token). Words move one by one, frequent ones first, to the class that most
-    raises sum N(c,d) log N(c,d) - sum N(c) log N(c) over left and right counts, until none moves
-    or `rounds` are done."""
+    raises sum N(c,d) log N(c,d) - sum N(c) log N(c) over left and right counts, until none moves."""
     n = len(pairs) - 2
     total = classes + 2
     own = np.concatenate([np.arange(n) % classes, [classes, classes + 1]])
@@ -101,8 +67,9 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     left, right = pairs.T @ eye, pairs @ eye  # of each word, by class of the word before, after
     between = eye.T @ pairs @ eye
     f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-9)), 0.0)
-    for _ in range(rounds):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for w in range(n):
             old, self_pairs = own[w], pairs[w, w]
             lw, rw = left[w].copy(), right[w].copy()
@@ -117,29 +84,199 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             gain += f(d + lw + rw + self_pairs) - f(d + rw) - f(d + lw) + f(d)
             gain -= f(out_sum + rw.sum() + self_pairs) - f(out_sum) + f(in_sum + lw.sum() + self_pairs) - f(in_sum)
             new = int(gain[:classes].argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + 1e-6:
                 new = old
             between[new] += rw
             between[:, new] += lw
             between[new, new] += self_pairs
             if new != old:
-                moved += 1
+                moved = True
                 own[w] = new
                 left[:, old] -= pairs[w]
                 left[:, new] += pairs[w]
                 right[:, old] -= pairs[:, w]
                 right[:, new] += pairs[:, w]
-        if not moved:
-            break
     return own
 
 
-def train(texts: DataFrame, scratch: Scratch, words: int = 250_000, exchanged: int = 1500, placed: int = 40_000, classes: int = 48, smooth: float = 5.0) -> tuple[ClassModel, DataFrame]:
-    """The model and the table (word, n) of all counts. Counts, bigrams, contexts and transitions are of the
-    whole corpus; `words`, `exchanged` and `placed` bound what reaches the driver.
-
-    The `exchanged` most frequent words are clustered by exchange over their bigrams; the next ones up to
-    `placed` join the class whose neighbours theirs are most like; all others share one open class."""
+def objective(between: np.ndarray) -> float:
+    """What exchange clustering raises: the log likelihood of the classes' bigrams, but for a constant."""
+    f = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return f(between) - f(between.sum(axis=0)) - f(between.sum(axis=1))
+
+
+def proposals(left: np.ndarray, right: np.ndarray, own: np.ndarray, between: np.ndarray, closed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of the first `closed` classes for each word, and by how much it raises the objective (to first order,
+    the word's own bigrams taken off its present class). left, right: the word's bigrams by class of the word before,
+    after. own: present classes."""
+    half, total = 0.5, len(between)
+    rows, columns = between.sum(axis=1) + half * total, between.sum(axis=0) + half * total
+    lift = np.log(between + half) - np.log(rows)[:, None] - np.log(columns)
+    score = (left @ lift + right @ lift.T)[:, :closed]
+    off = lambda x, y: np.log(np.maximum(x - y, 0) + half)
+    n_left, n_right = left.sum(axis=1, keepdims=True), right.sum(axis=1, keepdims=True)
+    now = (left * (off(between[:, own].T, left) - np.log(rows) - off(columns[own][:, None], n_left))).sum(axis=1)
+    now += (right * (off(between[own], right) - np.log(columns) - off(rows[own][:, None], n_right))).sum(axis=1)
+    placed = np.flatnonzero(own < closed)
+    score[placed, own[placed]] = now[placed]
+    best = score.argmax(axis=1)
+    gain = score[np.arange(len(own)), best] - now
+    gain[own >= closed] = np.inf
+    gain[best == own] = 0
+    return best, gain
+
+
+PAIRS = "bucket int, m0 int, codes0 binary, n0 binary, m1 int, codes1 binary, n1 binary"
+SUMS = "bucket int, between binary, classes binary"
+
+
+class Pairs:
+    """All bigrams of the corpus over the index, counted: those of a word w are in bucket w mod `buckets`, once by the
+    word before and once by the word after, as codes (w div buckets) * size + other word."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch, model: ClassModel, buckets: int):
+        self.scratch, self.buckets, self.size = scratch, buckets, len(model.index) + 1
+        size, end, spark = self.size, model.index[END], texts.sparkSession
+        per = -(-size // buckets)
+        index = spark.sparkContext.broadcast(model.index)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, held, n = index.value, [], 0
+
+            def out() -> pa.RecordBatch:
+                codes, sums = _summed([c for c, _ in held], [s for _, s in held])
+                before, after, made = codes // size, codes % size, []
+                for side, (w, other) in enumerate(((before, after), (after, before))):
+                    code = (w % buckets * per + w // buckets) * size + other
+                    order = np.argsort(code)
+                    code, own = code[order], sums[order]
+                    cuts = np.searchsorted(code, np.arange(buckets + 1) * per * size)
+                    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                        lo, hi = int(cuts[k]), int(cuts[k + 1])
+                        part = (hi - lo, pack_rising(code[lo:hi] - k * per * size), pack_lanes(own[lo:hi].astype(np.uint32)))
+                        made.append((k, *((*part, 0, None, None) if side == 0 else (0, None, None, *part))))
+                return to_batch(arrow_schema(PAIRS), made)
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    ids = _ids(tokens_of(batch, at)[0], words, size - 1)
+                    held.append(np.unique(np.concatenate([[end], ids[:-1]]) * size + ids, return_counts=True))
+                    n += len(held[-1][0])
+                    if n > 2_000_000:
+                        held = [_summed([c for c, _ in held], [s for _, s in held])]
+                        n = len(held[0][0])
+                        if n > 4_000_000:
+                            yield out()
+                            held, n = [], 0
+            if held:
+                yield out()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, list[tuple]] = {}
+            for row in each_row(batches):
+                found.setdefault(row[0], []).append(row[1:])
+            for bucket, rows in found.items():
+                made: list = [bucket]
+                for at in (0, 3):
+                    some = [r[at : at + 3] for r in rows if r[at]]
+                    codes, sums = _summed([unpack_rising(c, m).astype(np.int64) for m, c, _ in some], [unpack_lanes(x, m, np.uint32).astype(np.int64) for m, _, x in some])
+                    made += [len(codes), pack_rising(codes), pack_lanes(sums.astype(np.uint64))]
+                yield to_batch(arrow_schema(PAIRS), [tuple(made)])
+
+        dealt = deal(texts.mapInArrow(count, PAIRS), buckets)
+        self.table = scratch.write(dealt.mapInArrow(merge, PAIRS), "pairs")
+        scratch.release()
+
+    def summed(self, classes: np.ndarray, total: int, between: np.ndarray | None = None, closed: int = 0, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams by class, and each word's next class: that of the exchange that most raises the objective, given
+        the classes' bigrams of the round before. In each round half of the words may move, so that words do not
+        change places for ever; words in no closed class yet all do."""
+        size, buckets = self.size, self.buckets
+        shared = self.table.sparkSession.sparkContext.broadcast((classes.astype(np.int32), between))
+
+        def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, held = shared.value
+            for bucket, m0, codes0, n0, m1, codes1, n1 in each_row(batches):
+                words = np.arange(bucket, size, buckets)
+                own = of[words]
+
+                def near(m: int, codes: bytes, n: bytes) -> np.ndarray:
+                    codes = unpack_rising(codes, m).astype(np.int64)
+                    at = codes // size * total + of[codes % size]
+                    return np.bincount(at, weights=unpack_lanes(n, m, np.uint64), minlength=len(words) * total).reshape(len(words), total)
+
+                right = near(m0, codes0, n0)
+                sums = np.zeros((total, total))
+                np.add.at(sums, own, right)
+                new = own
+                if held is not None:
+                    best, gain = proposals(near(m1, codes1, n1), right, own, held, closed)
+                    turns = (mix((words.astype(np.uint64) + np.uint64(1)) * _STEP + np.uint64(turn)) & np.uint64(1)) == 1
+                    moves = (gain > 1e-6) & (turns | (own >= closed)) & (own <= closed) & (words < size - 1)
+                    new = np.where(moves, best, own)
+                yield to_batch(arrow_schema(SUMS), [(bucket, pack_lanes(sums.ravel()), new.astype(np.int32).tobytes())])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, made = np.zeros(total * total), []
+            for bucket, part, new in each_row(batches):
+                sums += unpack_lanes(part, total * total, np.float64)
+                made.append((bucket, None, new))
+            if made:
+                yield to_batch(arrow_schema(SUMS), [(made[0][0], sums.tobytes(), made[0][2]), *made[1:]])
+
+        parts = self.table.mapInArrow(propose, SUMS).repartition(max(1, math.isqrt(buckets)))
+        sums, new = np.zeros((total, total)), classes.copy()
+        for r in parts.mapInArrow(add, SUMS).collect():  # total * total numbers from each of few tasks, and a class a word
+            if r.between is not None:
+                sums += np.frombuffer(r.between).reshape(total, total)
+            new[r.bucket :: buckets] = np.frombuffer(r.classes, np.int32)
+        shared.destroy()
+        return sums, new
+
+
+def _summed(codes: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of codes and their counts as one, codes in order."""
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, n = np.concatenate(codes), np.concatenate(sums)
+    order = np.argsort(code, kind="stable")  # merges sorted lists
+    code = code[order]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[starts], np.add.reduceat(n[order], starts) if len(code) else n
+
+
+def cluster(pairs: Pairs, model: ClassModel, classes: int, start: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each word of the index and of all others, bigrams by class). All words of the index are exchanged.
+
+    The `start` most frequent words are exchanged one by one on the driver. From there on rounds go over the whole index
+    in the cluster: each task proposes moves for its words, and the classes' bigrams are merged. It ends when a
+    round raises the log likelihood by less than `tolerance` a token; the likeliest classes count."""
+    size, end, total = pairs.size, model.index[END], classes + 2
+    first = np.array([k for k in range(size - 1) if k != end][:start], dtype=np.int64)
+    seed = np.full(size, len(first), dtype=np.int64)
+    seed[first] = np.arange(len(first))
+    seed[end] = len(first) + 1
+    counted, _ = pairs.summed(seed, len(first) + 2)
+    own = exchange(counted, classes)
+    of = own[seed]  # words not seeded stand in the open class, as all others do
+    eye = np.eye(total)[own]
+    between, best, found, turn = eye.T @ counted @ eye, -math.inf, (of, None), 0
+    while True:
+        sums, new = pairs.summed(of, total, between, classes, turn)
+        raised = objective(sums) - best
+        if turn and raised < tolerance * max(1, model.tokens):
+            return found if raised <= 0 else (of, sums)
+        if turn:
+            best = objective(sums)
+        found, of, between, turn = (of, sums), new, sums, turn + 1
+
+
+def train(texts: DataFrame, scratch: Scratch, words: int = 250_000, classes: int | None = None, start: int = 300, smooth: float = 5.0, tolerance: float = 1e-4) -> tuple[ClassModel, DataFrame]:
+    """The model and the table (word, n) of all counts. Counts and bigrams are of the whole corpus.
+
+    The `words` most frequent words make up the index, which is broadcast; all of them are clustered, into as many
+    classes as the cube root of the number of different words, if `classes` doesn't say otherwise. Other words
+    share one open class."""
     spark = texts.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +291,7 @@ def train(texts: DataFrame, scratch: Scratch, words: int = 250_000, exchanged: i
         yield out()
 
     counted = scratch.write(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    scratch.release()
     by_size = counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.min("n").alias("least")).collect()
     model, taken, least = ClassModel(), 0, math.inf
     model.tokens, model.types = sum(r.tokens for r in by_size), sum(r.types for r in by_size)
@@ -169,45 +307,20 @@ def train(texts: DataFrame, scratch: Scratch, words: int = 250_000, exchanged: i
     model.counts = np.array([-n for n, _ in listed], dtype=np.int64)
     model.rest_tokens, model.rest_types = model.tokens - int(model.counts.sum()), model.types - sum(1 for n, _ in listed if n)
 
-    size = len(listed)
-    inner = [w for _, w in listed if w != END]
-    exchanged, placed = min(exchanged, len(inner)), min(placed, len(inner))
-    first = {w: k for k, w in enumerate(inner[:exchanged])} | {END: exchanged + 1}
-    side = exchanged + 2
-    pairs = _matrix(_tally(texts, lambda ids: np.concatenate([[exchanged + 1], ids[:-1]]) * side + ids, spark.sparkContext.broadcast(first), exchanged), side, side)
-    own = exchange(pairs, classes)
-
-    total, near = classes + 2, {w: k for k, w in enumerate(inner[:placed])} | {END: placed + 1}
-    class_of = np.concatenate([own[:exchanged], np.full(placed - exchanged, classes), [classes, classes + 1]])
-
-    def contexts(ids: np.ndarray) -> np.ndarray:
-        kinds = class_of[ids]
-        at = np.flatnonzero((ids >= exchanged) & (ids < placed))
-        before = np.where(at > 0, kinds[at - 1], classes + 1)
-        return np.concatenate([ids[at] * 2 * total + before, ids[at] * 2 * total + total + kinds[at + 1]])
-
-    if placed > exchanged:
-        around = _matrix(_tally(texts, contexts, spark.sparkContext.broadcast(near), placed), placed, 2 * total)[exchanged:]
-        between = np.zeros((total, total))
-        np.add.at(between, (own[:, None], own[None, :]), pairs)
-        lift = np.log((between + 0.5) * (between.sum() + 1) / np.outer(between.sum(axis=1) + total / 2, between.sum(axis=0) + total / 2))
-        fit = around[:, :total] @ lift + around[:, total:] @ lift.T
-        class_of[exchanged:placed] = fit[:, :classes].argmax(axis=1)
-
-    model.classes = np.full(size + 1, classes, dtype=np.int32)  # the last one stands for words outside the index
-    place = {w: class_of[k] for w, k in near.items() if w != END}
-    for w, k in model.index.items():
-        model.classes[k] = classes + 1 if w == END else place.get(w, classes)
-    kinds = model.classes.astype(np.int64)
-    moves = _matrix(_tally(texts, lambda ids: np.concatenate([[classes + 1], kinds[ids[:-1]]]) * total + kinds[ids], spark.sparkContext.broadcast(model.index), size), total, total)
-    share = (moves.sum(axis=0) + 1) / (moves.sum() + total)
-    model.log_move = np.log10((moves + smooth * share) / (moves.sum(axis=1, keepdims=True) + smooth))
-    of_class = np.bincount(kinds[:size], weights=model.counts, minlength=total)
-    open_class = kinds[:size] == classes
-    types_open = int(open_class.sum()) + model.rest_types
-    whole = of_class[classes] + model.rest_tokens + types_open + 1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        model.log_emit = np.where(open_class, np.log10((model.counts + 1) / whole), np.log10(np.maximum(model.counts, 1) / np.maximum(of_class[kinds[:size]], 1)))
+    classes = classes or max(2, round(model.types ** (1 / 3)))
+    total, size = classes + 2, len(listed)
+    pairs = Pairs(texts, scratch, model, shuffle_partitions(spark))
+    of, moves = cluster(pairs, model, classes, start, tolerance)
+    model.classes = of.astype(np.int32)  # the last one stands for words outside the index
+    kinds = of[:size]
+    of_class = np.bincount(kinds, weights=model.counts, minlength=total)
+    able = np.bincount(kinds, minlength=total) > 0
+    able[classes] = True  # the open class has room for words never seen
+    share = (moves.sum(axis=0) + 1) * able
+    share /= share.sum()
+    model.log_move = np.log10((moves + smooth * share) / (moves.sum(axis=1, keepdims=True) + smooth), out=np.full((total, total), -np.inf), where=np.broadcast_to(able, (total, total)))
+    whole = model.rest_tokens + model.rest_types + 1
+    model.log_emit = np.log10(np.maximum(model.counts, 1) / np.maximum(of_class[kinds], 1))
     model.open_whole = whole
     return model, counted
 

@@ -63,7 +63,7 @@ def test_odd_rows(spark, odd):
     tags = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in identify(odd, model).collect()}
     assert tags[3, None] == tags[7, "?! 123"] == tags[4, ""] == ("und", 0.0) and tags[6, LONG][0] == "en" and identify(empty, model).count() == 0
     assert {r.lang_pred for r in identify(odd, fit(empty, VOCABULARY)).collect()} == {"und"}
-    scores = class_lm_scores(odd, exchanged=5, placed=8, words=20, classes=2).toPandas()
+    scores = class_lm_scores(odd, words=20, classes=2, start=5).toPandas()
     assert len(scores) == n and np.isfinite(scores.score).all() and class_lm_scores(empty).count() == 0
     assert pack_documents(odd, TOKENS).groupBy("doc_id", "piece").count().count() >= 8 and pack_documents(empty, TOKENS).count() == 0
     near = near_duplicates(odd).toPandas()
@@ -245,7 +245,7 @@ def test_lm_counts_and_gain(spark, sf, docs):
             counts.update(w)
     total, types = sum(counts.values()), len(counts)
     gain = 0.0
-    for r in class_lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), words=2000, placed=1000, exchanged=300, classes=16).collect():
+    for r in class_lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), words=2000).collect():
         w = words[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), total)
         assert abs(r.base_score - sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w)) < 1e-6 * len(w)
@@ -257,6 +257,64 @@ def test_lm_counts_and_gain(spark, sf, docs):
     assert own[0] == own[1] != own[2] == own[3]
 
 
+def test_lm_score_is_moves_and_emissions(spark, sf, docs):
+    """score against sums of log10 of class moves and word emissions from plain counts; probabilities sum to 1; the
+    classes' bigrams that the rounds merge are those of the texts; the exchange ends above its start."""
+    from lexiquarry.llm.class_lm import END, Pairs, objective, train
+    from lexiquarry.llm.shared import Scratch
+
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    texts = frame.filter(~held).select(F.col("text").cast("binary").alias("text")).repartition(3)
+    model, counted = train(texts, Scratch(spark), words=1500)
+    size, k = len(model.index), int(model.classes[-1])
+    tokens = {d: [*t.encode().lower().split(), END] for d, t in docs.items()}
+    learned = [w for d, w in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = collections.Counter(x for w in learned for x in w)
+    kind = lambda w: int(model.classes[model.index.get(w, size)])
+    assert k + 2 == len(model.log_move) and k == max(2, round(len(counts) ** (1 / 3))) and {kind(w) for w in model.index} <= {*range(k), k + 1}
+    moves = np.zeros((k + 2, k + 2))
+    for w in learned:
+        for a, b in zip([END, *w], w):
+            moves[kind(a), kind(b)] += 1
+    share = (moves.sum(axis=0) + 1) * np.isin(np.arange(k + 2), [*model.classes, k])
+    share /= share.sum()
+    whole = {c: sum(n for w, n in counts.items() if kind(w) == c) for c in range(k + 2)}
+    rare = [w for w in counts if w not in model.index]
+    p = lambda a, b: (moves[kind(a), kind(b)] + 5 * share[kind(b)]) / (moves[kind(a)].sum() + 5) * ((counts[b] + 1) / (whole[k] + len(rare) + 1) if kind(b) == k else counts[b] / whole[kind(b)])
+    got = {r.doc_id: r.score for r in class_lm_scores(frame, words=1500).collect()}
+    for d, w in tokens.items():
+        assert abs(got[d] - sum(math.log10(p(a, b)) for a, b in zip([END, *w], w))) < 1e-6 * len(w)
+    for a in (END, max(counts, key=counts.get), rare[0]):
+        assert abs(sum(p(a, b) for b in counts) + p(a, b"\0 never seen") - 1) < 1e-9
+    pairs = Pairs(texts, Scratch(spark), model, 3)
+    sums, new = pairs.summed(model.classes, k + 2, moves, k, 3)
+    assert (sums == moves).all() and (new[[model.index[END], size]] == [k + 1, k]).all()
+    for _, m0, c0, n0, m1, c1, n1 in pairs.table.collect():
+        assert m0 and m1
+    start = np.where(model.classes < k, np.arange(size + 1) % k, model.classes)
+    assert objective(moves) > objective(pairs.summed(start, k + 2)[0])
+
+
+def test_exchange_recovers_classes(spark):
+    """Words of three kinds that follow one another in turn: the exchange of the whole index finds the kinds, though it
+    starts from a few words."""
+    from lexiquarry.llm.class_lm import END, train
+    from lexiquarry.llm.shared import Scratch
+
+    import random
+
+    draw = random.Random(2)
+    words = {c: [f"{c}{j}" for j in range(60)] for c in "xyz"}
+    rows = [(" ".join(draw.choice(words[c]) for _ in range(20) for c in "xyz").encode(),) for _ in range(150)]
+    model, _ = train(spark.createDataFrame(rows, "text binary").repartition(4), Scratch(spark), classes=3, start=12)
+    found = collections.defaultdict(set)
+    for w, at in model.index.items():
+        if w != END:
+            found[int(model.classes[at])].add(w[:1])
+    assert sorted(map(sorted, found.values())) == [[b"x"], [b"y"], [b"z"]]
+
+
 def test_substrings_equal_brute_force(spark, sf, docs):
     got, seen = {r.doc_id: r for r in registered.queries()["op6_suffix_dedup"](spark, sf).collect()}, {}
     apart = substring_dedup(spark.read.parquet(f"{sf}/documents.parquet").repartition(9)).drop("kept")  # a block for each part
