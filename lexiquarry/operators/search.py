@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,11 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULT)
 
 
+def hit_lines(all_lines: Column, hit: Callable[[Column], Column]) -> Column:
+    """Numbers, from 0, of the lines that hit."""
+    return F.filter(F.transform(all_lines, lambda x, at: F.when(hit(x), at)), lambda at: at.isNotNull())
+
+
 def matches(files: DataFrame, request: SearchRequest, postings: DataFrame | None = None) -> DataFrame:
     """Every line of files (repo_id, repo_name, version, org, branch, path, content) that the query hits, once.
 
@@ -64,13 +70,16 @@ def matches(files: DataFrame, request: SearchRequest, postings: DataFrame | None
             files = files.join(candidates(postings, query), ["repo_id", "doc_id"], "left_semi")
         files = files.filter(F.contains(F.lower("content"), F.lower(F.lit(query))) if ignore else F.contains("content", F.lit(query)))
     line = F.col("snippet")
-    hit = line.rlike(pattern) if request.regex else F.contains(F.lower(line), F.lower(F.lit(query))) if ignore else F.contains(line, F.lit(query))
+    hit_of = lambda x: x.rlike(pattern) if request.regex else F.contains(F.lower(x), F.lower(F.lit(query))) if ignore else F.contains(x, F.lit(query))
     column = regex_byte_column(line, pattern) if request.regex else literal_byte_column(line, query, ignore)
-    at = F.col("at")
-    scanned = files.withColumn("all", lines(F.col("content"))).select("*", F.posexplode_outer("all").alias("at", "snippet")).filter(at.isNotNull()).filter(hit)
+    # lines are tested inside the array, and only hits, with their neighbours, become rows
+    found = files.withColumn("all", lines(F.col("content"))).withColumn("hits", hit_lines(F.col("all"), hit_of))
+    around = lambda at: F.struct(
+        at.alias("at"), F.get("all", at).alias("snippet"), F.slice("all", F.greatest(at - CONTEXT + 1, F.lit(1)), F.least(at, F.lit(CONTEXT))).alias("context_before"), F.slice("all", at + 2, F.lit(CONTEXT)).alias("context_after")
+    )
+    scanned = found.select("repo_id", "repo_name", "path", "version", "org", "branch", F.explode(F.transform("hits", around)).alias("hit")).select("*", "hit.*")
     return scanned.select(
-        "repo_id", "repo_name", "path", (at + 1).cast("long").alias("line"), column.alias("column"), "snippet",
-        F.slice("all", F.greatest(at - CONTEXT + 1, F.lit(1)), F.least(at, F.lit(CONTEXT))).alias("context_before"), F.slice("all", at + 2, F.lit(CONTEXT)).alias("context_after"),
+        "repo_id", "repo_name", "path", (F.col("at") + 1).cast("long").alias("line"), column.alias("column"), "snippet", "context_before", "context_after",
         F.when(F.contains(F.lower("path"), F.lower(F.lit(query))), 0.8).otherwise(0.5).alias("score"), F.col("version").alias("blob_sha"), "org", "branch",
     )
 

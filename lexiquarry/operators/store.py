@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import re
 import threading
+import time
+import uuid
 from collections import defaultdict
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import parse_links
 from ..sources.storage import Storage
+from ..plans.requests import SearchRequest
 from . import trigram
+from .search import SearchResponse, repository_condition, search
 
-CHANGE = "path string, op string, content binary, seq long"
+log_ = logging.getLogger(__name__)
+CHANGE = "repo_id string, path string, op string, content binary, seq long"
+FACTS = "repo_name string, version string, org string, branch string"
+LINKS = "array<struct<name:string,urlTemplate:string>>"
 FILES = "repo_id string, doc_id long, path string, content binary"
 POSTINGS = "repo_id string, tri binary, doc_id long"
 _OWN = re.compile(r"[A-Za-z0-9_-]{0,64}-[0-9a-f]{16}")
@@ -63,28 +70,38 @@ def numbered(files: DataFrame, cuts: int | None = None) -> DataFrame:
     return found.select(*files.columns, (F.col("__before") + F.col("__nth")).cast("long").alias("doc_id"))
 
 
+def readable(files: DataFrame) -> DataFrame:
+    """(path, content, is_binary): null content for what isn't UTF-8."""
+    text = F.col("content").cast("string")
+    return files.select("path", F.when(F.is_valid_utf8(text), text).alias("content"), (~F.is_valid_utf8(text)).alias("is_binary"))
+
+
 class CorpusStore:
-    """Repositories under a root folder: <root>/repos/<shard>/{META, log/<seq>, v<n>/files, v<n>/postings}.
+    """Repositories under a root folder: <root>/repos/<shard>/{META, log/<entry>, v<n>/files, v<n>/postings}.
 
-    Pushes and deletes append to a repository's log. A build lays the log up to its last entry over the
-    current version, writes the next version and swaps the pointer in META; later entries stay in the log.
-    Searches see built versions, without files deleted since. One build per repository runs at a time."""
+    Pushes and deletes append entries to a repository's log; an entry counts once it is whole. A build lays the whole
+    entries that it finds over the current version, writes the next version and swaps the pointer in META, which also
+    names these entries; they are then removed. An entry that is still being written stays, whatever its number, for
+    the next build. Entries are numbered by the clock and named apart, so that several drivers may push.
+    Searches see built versions, without files deleted since. One build per repository runs at a time in a driver."""
 
-    def __init__(self, spark: SparkSession, root: str, snapshot: str | None = None, bucket_bytes: int = 128 << 20):
-        self.spark, self.storage, self.snapshot, self.bucket_bytes = spark, Storage(spark, root), snapshot, bucket_bytes
+    def __init__(self, spark: SparkSession, root: str, snapshot: str | None = None):
+        self.spark, self.storage, self.snapshot = spark, Storage(spark, root), snapshot
         self._locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
         self._guard, self._seq, self.ready = threading.Lock(), 0, False
-        for repo_id in self.repositories():
-            self._seq = max([self._seq, *map(int, self.storage.children("repos", shard_name(repo_id), "log")), self.meta(repo_id)["build_seq"]])
         if snapshot and not self.repositories() and Storage(spark, snapshot).exists("REPOS"):
             self.load_snapshot(snapshot)
         self.purge_orphans()
         self.ready = True
 
     # -- metadata
+    def metas(self) -> list[dict]:
+        """What is known of all repositories, by id, each read once."""
+        found = (self.storage.read("repos", s, "META") for s in self.storage.children("repos") if self.storage.exists("repos", s, "META"))
+        return sorted((json.loads(m) for m in found), key=lambda m: m["repo_id"])
+
     def repositories(self) -> list[str]:
-        found = [self.storage.read("repos", s, "META") for s in self.storage.children("repos") if self.storage.exists("repos", s, "META")]
-        return sorted(json.loads(m)["repo_id"] for m in found)
+        return [m["repo_id"] for m in self.metas()]
 
     def known(self, repo_id: str) -> bool:
         return self.storage.exists("repos", shard_name(repo_id), "META")
@@ -100,8 +117,9 @@ class CorpusStore:
             return self._locks[repo_id]
 
     def _next(self) -> int:
+        """A number over all that this driver gave out, and over those of others but for their clocks."""
         with self._guard:
-            self._seq += 1
+            self._seq = max(self._seq + 1, time.time_ns() // 1000)
             return self._seq
 
     # -- changes
@@ -114,7 +132,11 @@ class CorpusStore:
 
     def delete_file(self, repo_id: str, path: str) -> None:
         """Nothing happens for an unknown repository."""
-        self._append(repo_id, self.spark.createDataFrame([(path, "delete", None)], "path string, op string, content binary"), False)
+        self.delete_files(repo_id, self.spark.createDataFrame([(path,)], "path string"))
+
+    def delete_files(self, repo_id: str, paths: DataFrame) -> None:
+        """The same for all of the paths."""
+        self._append(repo_id, paths.select("path", F.lit("delete").alias("op"), F.lit(None).cast("binary").alias("content")), False)
 
     def _append(self, repo_id: str, changes: DataFrame, create: bool) -> None:
         if not self.known(repo_id):
@@ -122,20 +144,32 @@ class CorpusStore:
                 return
             with self._lock(repo_id):
                 if not self.known(repo_id):
-                    self._set_meta({"repo_id": repo_id, "repo_name": repo_id, "version": "", "org": "", "branch": "", "links": [], "built": False, "build_seq": 0, "number": 0})
+                    self._set_meta({"repo_id": repo_id, "repo_name": repo_id, "version": "", "org": "", "branch": "", "links": [], "built": False, "applied": [], "number": 0})
         seq = self._next()
-        changes.withColumn("seq", F.lit(seq).cast("long")).write.parquet(self.storage.path("repos", shard_name(repo_id), "log", f"{seq:012d}"))
+        entry = self.storage.path("repos", shard_name(repo_id), "log", f"{seq:020d}-{uuid.uuid4().hex[:8]}")
+        changes.select(F.lit(repo_id).alias("repo_id"), "path", "op", "content", F.lit(seq).cast("long").alias("seq")).write.parquet(entry)
+
+    def _entries(self, meta: dict) -> list[str]:
+        """Whole log entries that the current version doesn't hold yet."""
+        at = ("repos", shard_name(meta["repo_id"]), "log")
+        return [s for s in self.storage.children(*at) if s not in meta["applied"] and self.storage.exists(*at, s, "_SUCCESS")]
+
+    def _logs(self, metas: list[dict], entries: list[str] | None = None) -> DataFrame:
+        """Changes that aren't built yet, of all given repositories in one scan."""
+        paths = [self.storage.path("repos", shard_name(m["repo_id"]), "log", s) for m in metas for s in (self._entries(m) if entries is None else entries)]
+        return self.spark.read.schema(CHANGE).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGE)
 
     def _log(self, repo_id: str) -> DataFrame:
-        after = self.meta(repo_id)["build_seq"]
-        parts = [s for s in self.storage.children("repos", shard_name(repo_id), "log") if int(s) > after and self.storage.exists("repos", shard_name(repo_id), "log", s, "_SUCCESS")]
-        if not parts:
-            return self.spark.createDataFrame([], CHANGE)
-        return self.spark.read.schema(CHANGE).parquet(*(self.storage.path("repos", shard_name(repo_id), "log", s) for s in parts))
+        return self._logs([self.meta(repo_id)]).drop("repo_id")
+
+    def _tables(self, metas: list[dict], table: str) -> DataFrame:
+        """The current versions of all given repositories in one scan."""
+        schema = POSTINGS if table == "postings" else FILES
+        paths = [self.storage.path("repos", shard_name(m["repo_id"]), f"v{m['number']}", table) for m in metas if m["number"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _built(self, repo_id: str, table: str) -> DataFrame:
-        schema, number = (FILES, POSTINGS)[table == "postings"], self.meta(repo_id)["number"]
-        return self.spark.read.schema(schema).parquet(self.storage.path("repos", shard_name(repo_id), f"v{number}", table)) if number else self.spark.createDataFrame([], schema)
+        return self._tables([self.meta(repo_id)], table)
 
     # -- builds
     def build(self, repo_id: str, name: str, version: str = "", org: str = "", branch: str = "", links: str = "") -> None:
@@ -143,21 +177,18 @@ class CorpusStore:
         if not self.known(repo_id):
             raise KeyError(repo_id)
         with self._lock(repo_id):
-            meta, log = self.meta(repo_id), self._log(repo_id).cache()
-            build_seq = max(log.agg(F.max("seq")).first()[0] or 0, meta["build_seq"])
-            number, shard = meta["number"] + 1, shard_name(repo_id)
-            merged = overlay(self._built(repo_id, "files"), log.filter(F.col("seq") <= build_seq)).withColumn("repo_id", F.lit(repo_id))
+            meta = self.meta(repo_id)
+            entries, number, shard = self._entries(meta), meta["number"] + 1, shard_name(repo_id)
+            merged = overlay(self._built(repo_id, "files").select("path", "content"), self._logs([meta], entries).drop("repo_id")).withColumn("repo_id", F.lit(repo_id))
             target = self.storage.path("repos", shard, f"v{number}")
             numbered(merged).select("repo_id", "doc_id", "path", "content").write.mode("overwrite").parquet(f"{target}/files")
             files = self.spark.read.schema(FILES).parquet(f"{target}/files").filter(F.is_valid_utf8(F.col("content").cast("string")))
             index = trigram.postings(files.repartition("doc_id"))
             index.repartitionByRange("tri").sortWithinPartitions("tri", "doc_id").write.mode("overwrite").parquet(f"{target}/postings")
             parsed = self.spark.range(1).select(parse_links(F.lit(links)).alias("links")).first().links
-            self._set_meta(meta | {"repo_name": name, "version": version, "org": org, "branch": branch, "links": [x.asDict() for x in parsed if x], "built": True, "build_seq": build_seq, "number": number})
-            log.unpersist()
-            for s in self.storage.children("repos", shard, "log"):
-                if int(s) <= build_seq:
-                    self.storage.delete("repos", shard, "log", s)
+            self._set_meta(meta | {"repo_name": name, "version": version, "org": org, "branch": branch, "links": [x.asDict() for x in parsed if x], "built": True, "applied": entries, "number": number})
+            for s in entries:
+                self.storage.delete("repos", shard, "log", s)
             for v in self.storage.children("repos", shard):
                 if re.fullmatch(r"v\d+", v) and int(v[1:]) < number - 1:  # readers of the last version may still be at work
                     self.storage.delete("repos", shard, v)
@@ -194,43 +225,62 @@ class CorpusStore:
         return self._built(repo_id, "files").join(last.filter("op = 'delete'"), "path", "left_anti").orderBy("doc_id").select("path")
 
     def get_file(self, repo_id: str, path: str) -> DataFrame:
-        """One row (content, is_binary): null content for what isn't UTF-8; no row if there is no such file."""
+        """One row (content, is_binary): null content for what isn't UTF-8; no row if there is no such file. KeyError if
+        the repository is unknown."""
         if not self.known(repo_id):
-            return self.spark.createDataFrame([], "content string, is_binary boolean")
-        text = F.col("content").cast("string")
-        found = self.working_set(repo_id).filter(F.col("path") == path)
-        return found.select(F.when(F.is_valid_utf8(text), text).alias("content"), (~F.is_valid_utf8(text)).alias("is_binary"))
+            raise KeyError(repo_id)
+        return readable(self.working_set(repo_id).filter(F.col("path") == path)).drop("path")
 
     def index_status(self) -> DataFrame:
-        rows = [(m["repo_id"], m["repo_name"], m["version"], m["org"], m["branch"], "ready" if m["built"] else "pending") for m in map(self.meta, self.repositories())]
-        return self.spark.createDataFrame(rows, "repo_id string, repo_name string, version string, org string, branch string, status string").orderBy("repo_id")
-
-    def _searched(self) -> list[str]:
-        return [r for r in self.repositories() if self.meta(r)["built"]]
-
-    def files(self) -> DataFrame:
-        """Input of a search: all built versions with their repository's facts, without files deleted since."""
-        parts = []
-        for repo_id in self._searched():
-            meta, gone = self.meta(repo_id), latest_changes(self._log(repo_id)).filter("op = 'delete'").select("path")
-            facts = {k: F.lit(meta[k]) for k in ("repo_name", "version", "org", "branch")}
-            parts.append(self._built(repo_id, "files").join(gone, "path", "left_anti").withColumns(facts))
-        empty = self.spark.createDataFrame([], FILES + ", repo_name string, version string, org string, branch string")
-        return reduce(DataFrame.unionByName, parts, empty)
-
-    def postings(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self._built(r, "postings") for r in self._searched()), self.spark.createDataFrame([], POSTINGS))
+        """A row for each repository, with its links as they were given."""
+        rows = [(m["repo_id"], m["repo_name"], m["version"], m["org"], m["branch"], "ready" if m["built"] else "pending", m["links"]) for m in self.metas()]
+        return self.spark.createDataFrame(rows, f"repo_id string, {FACTS}, status string, links {LINKS}").orderBy("repo_id")
+
+    def status_json(self) -> dict:
+        rows = [r.asDict(recursive=True) for r in self.index_status().collect()]
+        return {"repositories": [{"repoId": r["repo_id"], "repoName": r["repo_name"], **{k: r[k] for k in ("version", "org", "branch", "status", "links")}} for r in rows], "totalRepos": len(rows)}
+
+    def _searched(self, request: SearchRequest | None) -> list[dict]:
+        """The built repositories that the request's conditions on repositories leave, before any table is opened."""
+        metas = [m for m in self.metas() if m["built"]]
+        if request is None or not (conditions := repository_condition(request)):
+            return metas
+        frame = self.spark.createDataFrame([(m["repo_id"], m["org"], m["branch"]) for m in metas], "repo_id string, org string, branch string")
+        for c in conditions:
+            frame = frame.filter(c)
+        left = {r.repo_id for r in frame.collect()}
+        return [m for m in metas if m["repo_id"] in left]
+
+    def files(self, request: SearchRequest | None = None) -> DataFrame:
+        """Input of a search: the built versions of the repositories that the request asks for (all by default), with
+        their repository's facts, without files deleted since. One scan and one anti-join, however many there are."""
+        metas = self._searched(request)
+        facts = self.spark.createDataFrame([tuple(m[k] for k in ("repo_id", "repo_name", "version", "org", "branch")) for m in metas], f"repo_id string, {FACTS}")
+        gone = latest_changes(self._logs(metas)).filter("op = 'delete'").select("repo_id", "path")
+        return self._tables(metas, "files").join(gone, ["repo_id", "path"], "left_anti").join(facts, "repo_id").select("repo_id", "doc_id", "path", "content", "repo_name", "version", "org", "branch")
+
+    def postings(self, request: SearchRequest | None = None) -> DataFrame:
+        return self._tables(self._searched(request), "postings")
+
+    def search(self, request: SearchRequest | str) -> SearchResponse:
+        """Answers a request, also one in JSON, from the stored files and postings."""
+        request = SearchRequest.from_json(request) if isinstance(request, str) else request
+        return search(self.files(request), request, self.postings(request))
 
     # -- snapshots
     def _persist(self) -> None:
+        """A snapshot is a backup: one that fails is logged and doesn't undo what was done."""
         if self.snapshot:
-            self.save_snapshot(self.snapshot)
+            try:
+                self.save_snapshot(self.snapshot)
+            except Exception:
+                log_.exception("no snapshot written to %s", self.snapshot)
 
     def save_snapshot(self, path: str) -> None:
         """All repositories, files and unbuilt changes; the index is made anew on load."""
         target = Storage(self.spark, path)
         number = int(json.loads(target.read("REPOS"))["number"]) + 1 if target.exists("REPOS") else 1
-        metas = [self.meta(r) for r in self.repositories()]
+        metas = self.metas()
         for m in metas:
             shard = shard_name(m["repo_id"])
             self._built(m["repo_id"], "files").write.mode("overwrite").parquet(target.path(f"s{number}", shard, "files"))
@@ -250,7 +300,7 @@ class CorpusStore:
             self.put_files(m["repo_id"], self.spark.read.schema(FILES).parquet(f"{at}/files").select("path", "content"))
             if m["built"]:
                 self.build(m["repo_id"], m["repo_name"], m["version"], m["org"], m["branch"], json.dumps(m["links"]))
-            log = self.spark.read.schema(CHANGE).parquet(f"{at}/log")
+            log = self.spark.read.schema(CHANGE).parquet(f"{at}/log").drop("repo_id")
             if log.take(1):
                 self._append(m["repo_id"], latest_changes(log).select("path", "op", "content"), True)
         self.snapshot = keep

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.links import parse_links, resolve_link, resolve_links
 from .functions.text import csv_set, display_name, escape_html, extension, language
 from .operators.search import facets, matches, page
-from .operators.store import latest_changes, numbered, overlay
+from .operators.store import CorpusStore, latest_changes, numbered, overlay, readable
 from .operators.trigram import candidates, index_stats, posting_lists, postings
 from .plans.requests import SearchFilters, SearchRequest
 from .sources import corpus
@@ -97,9 +100,9 @@ _THE = SearchRequest("the")
 _SEARCHES: dict[str, tuple[SearchRequest, bool, str, str]] = {
     "literal_ci_page": (_request("the"), True, "documents", "true"),
     "literal_cs_page": (_request("The"), True, "documents", "true"),
-    "smart_case_literal": (_request("tHe"), False, "documents", "true"),
+    "smart_case_literal": (_request("Th"), False, "documents", "true"),
     "short_query_scan": (_request("en"), False, "documents", "true"),
-    "non_ascii_literal": (_request("één"), False, "documents", "true"),
+    "non_ascii_literal": (_request("éé"), False, "documents", "true"),
     "upper_non_ascii_literal": (_request("É"), False, "documents", "true"),
     "path_bonus_score": (_request("fr"), False, "documents", "true"),
     "context_lines": (_request("tion"), False, "documents", "true"),
@@ -123,7 +126,7 @@ _SEARCHES: dict[str, tuple[SearchRequest, bool, str, str]] = {
 #: By name: request; the patterns mean the same in RE2.
 _REGEXES: dict[str, SearchRequest] = {
     "regex_word": _request(r"[A-Za-z]+sh\b", regex=True),
-    "regex_date": _request(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", regex=True),
+    "regex_date": _request(r"[0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}", regex=True),
     "regex_ci": _request("^(th|an)[a-z]*ing", regex=True),
     "regex_named_group": _request("(?P<first>The) [a-z]+ of$|q[[:alpha:]]{9}", regex=True),
 }
@@ -201,25 +204,108 @@ def build_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(corpus.documents(spark, sf_dir)).select("repo_id", "doc_id", "path")
 
 
-def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repositories; those on branch dev count as not built yet."""
-    repos = corpus.documents(spark, sf_dir).select("repo_id", "repo_name", "version", "org", "branch").distinct()
-    return repos.withColumn("status", F.when(F.col("branch") == "main", "ready").otherwise("pending"))
-
-
 def repo_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).agg(F.count_distinct("repo_id").alias("total_repos"))
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.documents(spark, sf_dir).filter("repo_id = 'src3'").select("path").orderBy("path")
+#: The stores that were filled, by application and input.
+_STORES: dict[tuple[str, str], CorpusStore] = {}
+_LANGS = ["de", "en", "es", "fr"]
+_LINKS = json.dumps([{"name": "web", "urlTemplate": "https://host/{org}/{repoName}/{path}#L{line}"}])
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, removed when the driver ends."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/lexiquarry-store-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
+
+
+def _store(spark: SparkSession, sf_dir: str) -> CorpusStore:
+    """A store with a repository for each language. All documents are pushed and built; then multiples of 3 are pushed
+    again, those of 5 deleted and those of 15 pushed once more; `de` and `en` are built with this, the others aren't."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store, docs = CorpusStore(spark, _folder(spark)), spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for lang in _LANGS:
+            mine = docs.filter(F.col("lang") == lang).select("doc_id", F.concat(F.lit("src/doc"), F.col("doc_id").cast("string"), F.lit(f".{lang}")).alias("path"), F.col("text").alias("content"))
+            again = lambda by, word: mine.filter(f"doc_id % {by} = 0").select("path", F.concat(F.lit(word), "content").alias("content"))  # noqa: B023, E731
+            store.put_files(lang, mine)
+            store.build(lang, f"name-{lang}", "v1", "org", "main", _LINKS)
+            store.put_files(lang, again(3, "new "))
+            store.delete_files(lang, again(5, ""))
+            store.put_files(lang, again(15, "newer "))
+            if lang in ("de", "en"):
+                store.build(lang, f"name-{lang}", "v2", "org", "dev", "not json")
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _each(store: CorpusStore, read: Callable[[str], DataFrame]) -> DataFrame:
+    out = None
+    for repo_id in store.repositories():
+        part = read(repo_id).withColumn("repo_id", F.lit(repo_id))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def store_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return _each(store, store.list_paths)
+
+
+def store_get_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files as they are read back one by one: built ones with what was pushed or deleted since."""
+    store = _store(spark, sf_dir)
+    return _each(store, lambda r: readable(store.working_set(r)))
+
+
+def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).files().withColumn("content", F.col("content").cast("string"))
+
+
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, request = _store(spark, sf_dir), _request("tionsh", {"branches": ["MAIN", "dev"], "repo_ids": ["en", "fr"]})
+    return flat(matches(store.files(request), request, store.postings(request)))
+
+
+def store_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request in JSON, answered in JSON: its facets and the next cursor."""
+    found = _store(spark, sf_dir).search(json.dumps({"query": "the", "pageSize": 7, "cursor": "14", "filters": {"orgs": ["ORG"]}})).to_json()
+    rows = [(f["type"], f["name"], f["count"], found["nextCursor"], len(found["results"])) for f in found["facets"]]
+    return spark.createDataFrame(rows, "type string, name string, count long, next_cursor string, n_results long")
+
+
+def store_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return store.index_status().select("repo_id", "repo_name", "version", "org", "branch", "status", F.to_json("links").alias("links"), F.lit(store.status_json()["totalRepos"]).cast("long").alias("total_repos"))
+
+
+def store_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a store that was loaded from a snapshot of another, after one repository was taken out."""
+    snapshot = _folder(spark)
+    _store(spark, sf_dir).save_snapshot(snapshot)
+    again = CorpusStore(spark, _folder(spark), snapshot)
+    again.snapshot = None
+    again.unregister("es")
+    return again.files().withColumn("content", F.col("content").cast("string"))
+
+
+_KEPT = "(doc_id % 15 = 0 OR doc_id % 5 <> 0)"
+_STORE_SQL = f"""stored AS (
+  SELECT lang AS repo_id, 'src/doc' || doc_id || '.' || lang AS path, doc_id AS id, text, {_STATE} AS now FROM documents),
+built AS (
+  SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path) - 1 AS doc_id, path, id, CASE WHEN repo_id IN ('de', 'en') THEN now ELSE text END AS content
+  FROM stored WHERE repo_id NOT IN ('de', 'en') OR {_KEPT.replace('doc_id', 'id')}),
+files AS (
+  SELECT repo_id, doc_id, path, content, 'name-' || repo_id AS repo_name, CASE WHEN repo_id IN ('de', 'en') THEN 'v2' ELSE 'v1' END AS version, 'org' AS org,
+    CASE WHEN repo_id IN ('de', 'en') THEN 'dev' ELSE 'main' END AS branch
+  FROM built WHERE {_KEPT.replace('doc_id', 'id')})"""
 
 
-def get_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document read back as bytes; those with an odd id have a byte put in that isn't UTF-8."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    raw = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, F.concat(F.col("text").cast("binary"), F.lit(bytearray(b"\xff")))).otherwise(F.col("text").cast("binary")).cast("string").alias("raw"))
-    return raw.select("doc_id", F.when(F.is_valid_utf8("raw"), F.col("raw")).alias("content"), (~F.is_valid_utf8("raw")).alias("is_binary"))
+def _store_matches_sql(request: SearchRequest, where: str) -> str:
+    return _match_sql(request, where=where).replace(f"files AS ({_FILES['documents']})", _STORE_SQL, 1)
 
 
 _TEMPLATE = "https://host/{org}/{repoName}/blob/{branch}/{version}/{path}#L{line}"
@@ -257,10 +343,18 @@ SELECT count(DISTINCT tri)::BIGINT AS n_trigrams, count(*)::BIGINT AS n_postings
     "overlay_upsert_delete": (overlay_upsert_delete, f"SELECT source AS repo_id, 'd' || doc_id AS path, {_STATE} AS content FROM documents WHERE doc_id % 15 = 0 OR (doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR doc_id % 2 = 0))"),
     "pending_changes": (pending_changes, f"SELECT source AS repo_id, 'd' || doc_id AS path, CASE WHEN doc_id % 15 <> 0 AND doc_id % 5 = 0 THEN 'delete' ELSE 'put' END AS op, CASE WHEN doc_id % 15 <> 0 AND doc_id % 5 = 0 THEN NULL ELSE {_STATE} END AS content FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0"),
     "build_order": (build_order, f"WITH files AS ({_FILES['documents']}), {_NUMBERED} SELECT repo_id, doc_id::BIGINT AS doc_id, path FROM numbered"),
-    "index_status": (index_status, f"WITH files AS ({_FILES['documents']}) SELECT DISTINCT repo_id, repo_name, version, org, branch, CASE WHEN branch = 'main' THEN 'ready' ELSE 'pending' END AS status FROM files"),
     "repo_count": (repo_count, "SELECT count(DISTINCT source)::BIGINT AS total_repos FROM documents"),
-    "tree": (tree, f"WITH files AS ({_FILES['documents']}) SELECT path FROM files WHERE repo_id = 'src3'"),
-    "get_file": (get_file, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text END AS content, doc_id % 2 = 1 AS is_binary FROM documents"),
+    "store_tree": (store_tree, f"SELECT lang AS repo_id, 'src/doc' || doc_id || '.' || lang AS path FROM documents WHERE {_KEPT}"),
+    "store_get_file": (store_get_file, f"SELECT lang AS repo_id, 'src/doc' || doc_id || '.' || lang AS path, {_STATE} AS content, false AS is_binary FROM documents WHERE {_KEPT}"),
+    "store_files": (store_files, f"WITH {_STORE_SQL} SELECT repo_id, doc_id, path, content, repo_name, version, org, branch FROM files"),
+    "store_search": (store_search, _store_matches_sql(_request("tionsh"), "repo_id IN ('en', 'fr')") + "\nSELECT * FROM found"),
+    "store_response": (store_response, _store_matches_sql(_request("the"), "true") + """
+SELECT type, name, count(*)::BIGINT AS count, '21' AS next_cursor, 7::BIGINT AS n_results
+FROM (SELECT unnest([{'type': 'repo', 'name': repo_id}, {'type': 'file_type', 'name': '.' || repo_id}, {'type': 'org', 'name': org}, {'type': 'branch', 'name': branch}], recursive := true) FROM found) GROUP BY 1, 2"""),
+    "store_status": (store_status, f"""SELECT repo_id, 'name-' || repo_id AS repo_name, CASE WHEN repo_id < 'es' THEN 'v2' ELSE 'v1' END AS version, 'org' AS org,
+  CASE WHEN repo_id < 'es' THEN 'dev' ELSE 'main' END AS branch, 'ready' AS status, CASE WHEN repo_id < 'es' THEN '[]' ELSE '{_LINKS.replace(", ", ",").replace(": ", ":")}' END AS links, 4::BIGINT AS total_repos
+FROM (VALUES ('de'), ('en'), ('es'), ('fr')) t(repo_id)"""),
+    "store_restored": (store_restored, f"WITH {_STORE_SQL} SELECT repo_id, doc_id, path, content, repo_name, version, org, branch FROM files WHERE repo_id <> 'es'"),
     "link_templates": (link_templates, _match_sql(_request("tionsh")) + """
 SELECT repo_id, path, line, 'https://host/' || org || '/' || repo_name || '/blob/' || branch || '/' || blob_sha || '/a%20b/%C3%BC%2B(1)/' || path || '#L' || line AS url, 'web' AS name, 0 AS n_bad FROM found"""),
     "path_functions": (path_functions, """

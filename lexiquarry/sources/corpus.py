@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import CorpusStore
+
 COLUMNS = ["repo_id", "repo_name", "version", "org", "branch", "path", "content"]
 
 
@@ -37,12 +41,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_tree(spark: SparkSession, root: str, skip_binary: bool = True, max_bytes: int = 64 << 20) -> DataFrame:
-    """(path, content) of the files below root, but for .git and files over max_bytes; binary ones
-    (with a zero byte, or not UTF-8) are left out if skip_binary."""
+def source_tree(spark: SparkSession, root: str, skip_binary: bool = True) -> DataFrame:
+    """(path, content) of the files below root, but for .git; binary ones (with a zero byte, or not UTF-8) are left
+    out if skip_binary."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"/+$", "", re.sub(r"^[a-z]+:/+", "/", root))
-    files = found.filter(F.col("length") <= max_bytes).select(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(base) + "/+", "").alias("path"), "content")
+    files = found.select(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(base) + "/+", "").alias("path"), "content", "length")
     files = files.filter(~F.col("path").rlike(r"(?:^|/)\.git/"))
     string = F.col("content").cast("string")
     text = F.is_valid_utf8(string) & (F.instr(string, "\0") == 0)
@@ -50,8 +54,23 @@ def source_tree(spark: SparkSession, root: str, skip_binary: bool = True, max_by
 
 
 def repository_of(url: str) -> tuple[str, str]:
-    """(org, name) of a clone URL or of owner/name. Where the path has /_git/, the org is what stands before it."""
-    full = url if re.match(r"http\S*://", url) else f"https://github.com/{url}"
-    name = full.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
-    m = re.search(r".*/([^/]+)/_git/", full) or re.match(r"https?://[^/]+/([^/]+)/", full)
-    return (m[1] if m else full), name
+    """(org, name) of a clone URL or of owner/name. The org is the part of the path before the last but one slash; of a
+    path with /_git/, the part before that."""
+    parts = [p for p in (urlsplit(url).path if "://" in url else url).split("/") if p]
+    name = parts[-1].removesuffix(".git") if parts else ""
+    if "_git" in parts[1:-1]:
+        last = max(k for k in range(1, len(parts) - 1) if parts[k] == "_git")
+        return parts[last - 1], name
+    return (parts[0] if len(parts) > 1 else url), name
+
+
+def ingest(store: CorpusStore, root: str, url: str, version: str, branch: str, repo_id: str | None = None, skip_binary: bool = True, max_bytes: int = 64 << 20) -> list[str]:
+    """Pushes a checkout's files and builds its repository, which is named after the clone URL and links back to it.
+    Returns the paths of files over max_bytes: these are refused, and the caller is told."""
+    org, name = repository_of(url)
+    repo_id, web = repo_id or name, (url if "://" in url else f"https://github.com/{url}").removesuffix(".git")
+    files = source_tree(store.spark, root, skip_binary)
+    refused = [r.path for r in files.filter(F.col("length") > max_bytes).select("path").orderBy("path").toLocalIterator()]
+    store.put_files(repo_id, files.filter(F.col("length") <= max_bytes))
+    store.build(repo_id, name, version, org, branch, json.dumps([{"name": f"Open {name}", "urlTemplate": web + "/blob/{branch}/{path}#L{line}"}]))
+    return refused

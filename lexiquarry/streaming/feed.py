@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +22,7 @@ def apply_changes(store: CorpusStore, changes: DataFrame, build: bool = True) ->
             store._append(row.repo_id, mine, True)
             if build:
                 meta = store.meta(row.repo_id)
-                store.build(row.repo_id, meta["repo_name"], meta["version"], meta["org"], meta["branch"])
+                store.build(row.repo_id, meta["repo_name"], meta["version"], meta["org"], meta["branch"], json.dumps(meta["links"]))
     finally:
         last.unpersist()
 

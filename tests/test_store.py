@@ -5,7 +5,7 @@ import pytest
 from lexiquarry.operators.search import matches
 from lexiquarry.operators.store import CorpusStore, numbered, shard_name
 from lexiquarry.plans.requests import SearchRequest
-from lexiquarry.sources.corpus import repository_of, source_tree
+from lexiquarry.sources.corpus import ingest, repository_of, source_tree
 from lexiquarry.streaming.feed import FEED, start_feed
 
 
@@ -34,6 +34,8 @@ def test_lifecycle(spark, tmp_path):
     assert _hits(store, "moon") == 1 and _hits(store, "world") == 0 and store.meta("repo1")["links"] == []
     assert store.get_file("repo1", "a.rs").first().content == "fn hello_moon() {}" and store.get_file("repo1", "zzz").count() == 0
     store.put_file("repo1", "c.bin", b"\xff\x41")
+    with pytest.raises(KeyError):
+        store.get_file("nobody", "a.rs")
     row = store.get_file("repo1", "c.bin").first()
     assert row.is_binary and row.content is None
     assert [r.status for r in store.index_status().collect()] == ["ready"]
@@ -63,11 +65,69 @@ def test_concurrent_builds(spark, tmp_path):
     assert _paths(store, "r") == ["a.rs"] and store.meta("r")["number"] == 4 and _hits(store, "fn x") == 1
 
 
+def test_push_that_ends_late_is_not_lost(spark, tmp_path):
+    """An entry that took its number before another, but is whole only after the build, waits for the next build; what a
+    build has applied doesn't come back if it stops before it removes the entries."""
+    store = CorpusStore(spark, str(tmp_path / "s"))
+    store.put_file("r", "a", b"alpha")
+    log = tmp_path / "s" / "repos" / shard_name("r") / "log"
+    first = next(log.iterdir())
+    (first / "_SUCCESS").rename(tmp_path / "held")  # still being written
+    store.put_file("r", "b", b"bravo")
+    store.build("r", "r")
+    assert _paths(store, "r") == ["b"] and first.exists()
+    (tmp_path / "held").rename(first / "_SUCCESS")
+    assert _hits(store, "alpha") == 0 and {r.path for r in store.working_set("r").collect()} == {"a", "b"}
+    kept = store.storage.delete
+    store.storage.delete = lambda *parts: parts[2] != "log" and kept(*parts)
+    store.build("r", "r")
+    store.storage.delete = kept
+    store.delete_file("r", "a")
+    store.build("r", "r")
+    assert first.exists() is False or _paths(store, "r") == ["b"]
+    assert _paths(store, "r") == ["b"] and _hits(store, "alpha") == 0 and _hits(store, "bravo") == 1
+    other = CorpusStore(spark, str(tmp_path / "s"))  # a second driver on the same root
+    store.put_file("r", "c", b"one")
+    other.put_file("r", "c", b"two")
+    assert store.get_file("r", "c").first().content == "two"
+
+
+def test_status_and_failed_snapshot(spark, tmp_path, caplog):
+    (tmp_path / "file").write_text("not a folder")
+    store = CorpusStore(spark, str(tmp_path / "s"))
+    store.snapshot = str(tmp_path / "file" / "snap")
+    store.put_file("r", "a", b"alpha")
+    store.build("r", "name", links='[{"name": "web", "urlTemplate": "u/{path}"}]')
+    assert "no snapshot written" in caplog.text and store.meta("r")["built"]
+    store.put_file("new", "a", b"alpha")
+    got = store.status_json()
+    assert got["totalRepos"] == 2 and [r["status"] for r in got["repositories"]] == ["pending", "ready"]
+    assert got["repositories"][1]["links"] == [{"name": "web", "urlTemplate": "u/{path}"}]
+    found = store.search('{"query": "alph", "pageSize": 1, "filters": {"repoIds": ["R"]}}').to_json()
+    assert [r["path"] for r in found["results"]] == ["a"] and found["nextCursor"] is None
+    assert store.files(SearchRequest("alph", allowed_repo_ids=["new"])).count() == 0
+
+
+def test_ingest(spark, tmp_path):
+    for name, body in {"src/[a].py": b"x = 1", ".git/config": b"no", "b.bin": b"a\0b", "big.txt": b"y" * 100}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    store = CorpusStore(spark, str(tmp_path / "s"))
+    assert ingest(store, str(tmp_path / "in"), "https://github.com/owner/thing.git", "abc", "main", max_bytes=50) == ["big.txt"]
+    meta = store.meta("thing")
+    assert _paths(store, "thing") == ["src/[a].py"] and _hits(store, "x = 1") == 1 and (meta["org"], meta["version"]) == ("owner", "abc")
+    assert meta["links"][0]["urlTemplate"] == "https://github.com/owner/thing/blob/{branch}/{path}#L{line}"
+
+
 def test_feed(spark, tmp_path):
     store = CorpusStore(spark, str(tmp_path / "s"))
     rows = [("r", "a", "put", bytearray(b"one"), 1), ("r", "a", "put", bytearray(b"two"), 2), ("r", "b", "put", bytearray(b"x"), 3), ("r", "b", "delete", None, 4)]
     spark.createDataFrame(rows, FEED).write.parquet(str(tmp_path / "in"))
+    store.put_file("r", "z", b"zulu")
+    store.build("r", "named", links='[{"name": "web", "urlTemplate": "u"}]')
+    store.delete_file("r", "z")
     start_feed(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
+    assert store.meta("r")["links"] == [{"name": "web", "urlTemplate": "u"}] and store.meta("r")["repo_name"] == "named"
     assert _paths(store, "r") == ["a"] and store.get_file("r", "a").first().content == "two"
 
 
