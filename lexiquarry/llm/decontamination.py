@@ -198,7 +198,7 @@ class ItemIndex:
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, max_items: int, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of about max_items items and max_bytes bytes, one after the other on the driver."""
-    rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / max_items), math.ceil(size / max_bytes))
     for k in range(blocks):
@@ -211,9 +211,14 @@ def _batches(column: pa.Array, step: int = 128) -> Iterator[tuple[int, list]]:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, max_items: int = 10_000, max_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, item_id, bm25, overlap, question_overlap, answer_overlap): a passage of the document holds
-    at least `threshold` of the item's shingles of `width` words. bm25 is relative to the least score that
-    such a passage can have. An item's answer is its last sentence, if it has several.
+    """Rows (doc_id, item_id, bm25, overlap, question_overlap, answer_overlap, question_held, answer_held): a passage of
+    the document holds at least `threshold` of the item's shingles of `width` words. bm25 is relative to the least
+    score that such a passage can have. An item's answer is its last sentence, if it has several. Question and answer
+    are verified each by itself, too: held tells whether the passage has `threshold` of that part. A passage that is
+    near enough to the whole item counts all the same, for a word changed in a short answer undoes most of its runs.
+
+    Every passage is a query. Those that have too little of each item's rarest words to score enough, whatever else they
+    hold, are told apart by a sum over these words' postings; block-max WAND retrieves for all others.
 
     Null texts and texts or items without words match nothing. Items shorter than `width` words match as a
     run. Every document is searched whole; repeated rows give rows of their own. Items are indexed in blocks
@@ -230,11 +235,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8
                 ids = batch.column(0).to_pylist()
                 for at, texts in _batches(batch.column(1)):
                     for i, hits in enumerate(shared.value.find(texts)):
-                        found += [(ids[at + i], item, score, whole, q, a) for item, (whole, score, q, a) in hits.items()]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 6, types)], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
+                        found += [(ids[at + i], item, score, whole, q, a, q >= threshold - 1e-9, a >= threshold - 1e-9) for item, (whole, score, q, a) in hits.items()]
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 8, types)], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap", "question_held", "answer_held"])
 
-        part = rows.mapInArrow(search, "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double")
+        part = rows.mapInArrow(search, "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double, question_held boolean, answer_held boolean")
         out = part if out is None else out.unionByName(part)
     return out
 

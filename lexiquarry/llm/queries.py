@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .class_lm import class_lm_scores
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
@@ -111,10 +109,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), threshold=0.8, width=5).select("doc_id", "class_id", "class_size", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_decontamination, op2_language_id, op3_html_extraction, op4_class_lm, op5_line_dedup, op6_suffix_dedup, op7_sharding, op8_exact_dedup, op9_packing, op10_near_dedup)
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL, "op8_exact_dedup": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_line_dedup": OP5_SQL, "op7_sharding": OP7_SQL, "op8_exact_dedup": OP8_SQL}

@@ -19,7 +19,8 @@ from lexiquarry.llm.html_extraction import Slot, extract_pages, matching, merge,
 from lexiquarry.llm.language_id import fit, identify, train, training_row
 from lexiquarry.llm.line_dedup import line_dedup
 from lexiquarry.llm.near_dedup import block_links, near_dedup, near_duplicates, prob_minhash, probability_jaccard, weighted_shingles, word_hashes
-from lexiquarry.llm.packing import WordTokenizer, pack_documents, sum_of_squares
+from lexiquarry.llm.packing import WordTokenizer, cut_pieces, pack, pack_documents, sum_of_squares
+from lexiquarry.llm.shared import Scratch
 from lexiquarry.llm.sharding import byte_shards
 from lexiquarry.llm.substring_dedup import substring_dedup
 
@@ -44,7 +45,7 @@ def test_query_equals_sql(spark, sf, same, name):
     same(registered.queries()[name](spark, sf), registered.oracle_sql()[name])
 
 
-def test_odd_rows(spark, odd):
+def test_odd_rows(spark, sf, odd):
     n = len(ODD)
     empty = odd.limit(0)
     items = spark.createDataFrame([(1, "some words that go on some words that go on"), (2, None), (3, "?!"), (4, "same text here")], "item_id long, text string")
@@ -74,8 +75,12 @@ def test_odd_rows(spark, odd):
     assert decontaminate(odd, items).count() == n - 4 and decontaminate(odd, items, max_items=1).count() == n - 4
     cut = substring_dedup(odd).toPandas()
     assert len(cut) == n and cut.n_removed.sum() == 0 and substring_dedup(empty).count() == 0
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, odd, "").columns == odd.columns, name
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, odd, sf).columns == odd.columns, name
+        assert stage(spark, empty, sf).count() == 0, name
+    assert corpus_pipeline.packing(spark, odd, sf).count() >= n and corpus_pipeline.packing(spark, empty, sf).count() == 0
+    pages = spark.createDataFrame([(None, None, None), (1, "http://o.example/", ""), (1, "http://o.example/", ""), (2, "?", LONG), (3, "http://o.example/", "<p>" * 3000 + "x")], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "template", "text", "salt")})
+    assert sorted((r.page_id or 0, r.text) for r in extract_pages(pages).collect()) == [(0, ""), (1, ""), (1, ""), (2, LONG.strip()), (3, "x")] and extract_pages(pages.limit(0)).count() == 0
 
 
 def test_exact_dedup_in_slices(spark, sf, same):
@@ -374,6 +379,10 @@ def test_packing(spark, sf, docs):
     order = got.sort_values(["sequence_id", "offset"])
     assert (order.groupby("sequence_id").length.cumsum() - order.length == order.offset).all()
     assert order.groupby("sequence_id").length.sum().max() <= 4096 and got.sequence_id.nunique() <= 1.03 * got.length.sum() / 4096 + 1
+    parts = pack(cut_pieces(spark.read.parquet(f"{sf}/documents.parquet"), TOKENS), Scratch(spark), group=50).toPandas()  # several groups
+    order = parts.sort_values(["sequence_id", "offset"])
+    assert (order.groupby("sequence_id").length.cumsum() - order.length == order.offset).all() and order.groupby("sequence_id").length.sum().max() <= 4096
+    assert sorted(zip(parts.doc_id, parts.piece, parts.ids_crc32)) == sorted(zip(got.doc_id, got.piece, got.ids_crc32))
     bins, _ = sum_of_squares(np.array([3, 3, 3, 1, 1, 1]), 4)
     assert len(set(bins.tolist())) == 3
     mixed = WordTokenizer(TOKENS)
@@ -501,5 +510,20 @@ def test_pipeline(spark, sf, docs):
     assert {r.doc_id for r in tagged.collect()} == {d for d, t in docs.items() if re.search(r"[^\W\d_]", t)}
     clean = {r.doc_id for r in corpus_pipeline.decontamination(spark, base, sf).collect()}
     assert clean == set(docs) - {r.doc_id for r in registered.queries()["op1_decontamination"](spark, sf).collect()}
+    lined = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, base, sf).collect()}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    held = collections.Counter(k for t in docs.values() for k in {key(x) for x in t.split("\n")} if k)
+    left = collections.Counter(k for t in lined.values() for k in {key(x) for x in t.split("\n")} if k)
+    assert left == {k: n if n < 10 else 1 for k, n in held.items()}
+    for d, t in docs.items():
+        rare = [x for x in t.split("\n") if held[key(x)] < 10]
+        own = [x for x in lined.get(d, "").split("\n") if held[key(x)] < 10]
+        assert own == rare or d not in lined and not "".join(rare).strip()
+    classes = collections.defaultdict(list)
+    for r in registered.queries()["op10_near_dedup"](spark, sf).collect():
+        classes[r.class_id].append(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, base, sf).collect()} == {min(v) for v in classes.values()}
+    pieces = corpus_pipeline.packing(spark, base, sf).toPandas()
+    assert set(pieces.doc_id) == set(docs) and pieces.groupby("sequence_id").length.sum().max() <= 4096
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < out.doc_id.nunique() < len(docs) and out.groupby("sequence_id").length.sum().max() <= 4096
