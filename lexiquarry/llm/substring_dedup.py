@@ -178,6 +178,14 @@ def _around(b: Block, at: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndar
     return np.minimum(most, at - (b.ends - b.size)[doc]), np.minimum(most, b.ends[doc] - at - cover.tuple)
 
 
+def _strings(b: Block, at: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of `width` bytes over the tuples at some places: where they start, and their names in two parts."""
+    before, after = _around(b, at, cover)
+    side = cover.period - 1
+    starts = np.unique(np.concatenate([at[(before >= off) & (after >= side - off)] - off for off in range(cover.period)]))
+    return starts, b.hashes(starts, cover.width), (b.hashes(starts, cover.width, _OTHER) >> np.uint64(32)).astype(np.uint32)
+
+
 def _judge_strings(found: list[tuple], cover: Cover, most: int = 250_000) -> np.ndarray:
     """By context a bit for each string of `width` bytes over its tuple that a smaller document has, too. Equal strings
     over equal tuples are brought together by their hashes; neighbours are then compared byte by byte."""
@@ -220,7 +228,7 @@ def _judge_strings(found: list[tuple], cover: Cover, most: int = 250_000) -> np.
     return masks
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 50, hot: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256.
 
     A byte goes if a string of `width` bytes over it also starts in a document with a smaller id, judged on
@@ -235,9 +243,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
        smaller document has covers more than `width` bytes, which go.
     3. A place whose tuple a smaller document may have, and around which some bytes aren't settled yet, asks; blocks
        with the same tuple answer. Both send the bytes around it, each different context once, to the tuple's bucket.
-    4. There the strings over the tuple are compared, and those that a smaller document has, go.
-    Names have so many bits that chance makes few places ask in vain; pairs have 96 bits, so that no two different ones of
-    a corpus of 100 TB are likely to be taken for the same; all other strings are compared byte by byte."""
+    4. There the strings over the tuple are compared, and those that a smaller document has, go. A tuple that stands at
+       more than `hot` places, such as at the edge of a passage that a third of all documents share, sends no contexts:
+       the strings over it are named, sent and merged as pairs are, once a block, so that no bucket gets them all.
+    Names have so many bits that chance makes few places ask in vain; those of pairs and of strings over hot tuples have
+    96 bits, so that no two different ones of a corpus of 100 TB are likely to be taken for the same; all other strings
+    are compared byte by byte."""
     spark = docs.sparkSession
     scratch, cover = Scratch(spark), Cover(width)
     side, whole = cover.period - 1, cover.period + cover.tuple
@@ -360,13 +371,15 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             groups = Groups(names)
             asked = np.zeros(len(groups.first), dtype=bool)
             asked[groups.of[asks]] = True
-            yield to_batch(arrow_schema(SENT), out + sent(block, names[groups.first], bits, lambda lo, hi: (pack_bits(asked[lo:hi]), None)))
+            many = np.bincount(groups.of, minlength=len(asked)).astype(np.uint32)
+            yield to_batch(arrow_schema(SENT), out + sent(block, names[groups.first], bits, lambda lo, hi: (pack_bits(asked[lo:hi]), pack_lanes(many[lo:hi]))))
 
     def judge_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found := list(each_row(batches)):
             bucket = Bucket(found)
-            asked = bucket.column(unpack_bits(x[4], x[2]) for x in found)
-            yield bucket.answers(np.repeat(np.logical_or.reduceat(asked, bucket.starts), bucket.counts))
+            asked = np.logical_or.reduceat(bucket.column(unpack_bits(x[4], x[2]) for x in found), bucket.starts)
+            many = np.add.reduceat(bucket.column(unpack_lanes(x[5], x[2], np.uint32) for x in found).astype(np.int64), bucket.starts)
+            yield bucket.answers(*(np.repeat(x, bucket.counts) for x in (asked, asked & (many > hot))))
 
     asks, kept = step(answered(answers, repeated), send_asks, "asks")
     scratch.drop("pairs", "pair-answers")
@@ -378,8 +391,9 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             b, asks = Block(ids, sizes, text), unpack_bits(asks, n)
             n_gone, at = at[:8], unpack_rising(at[8:], n).astype(np.int64)
             groups = Groups(named(b, at))
-            told = _heard(answers, len(groups.first))[groups.of]
-            at, asks = at[told], asks[told]
+            told, common = (_heard(answers, len(groups.first), of)[groups.of] for of in ("yes", "also"))
+            often = at[common]
+            at, asks = at[told & ~common], asks[told & ~common]
             before, after = _around(b, at, cover)
             key = mix(b.hashes(at - before, before + cover.tuple + after) ^ mix((before * cover.period + after).astype(np.uint64)))
             groups = Groups(key)
@@ -400,6 +414,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             for k, lo, hi in _dealt(name, bits, buckets):
                 facts = ords[lo:hi].tobytes() + b"".join(x[lo:hi].tobytes() for x in around)
                 out.append((k, block, lo, hi - lo, None, pack_bytes(context[lo:hi].tobytes()), pack_bytes(facts), 0))
+            if len(often):
+                starts, name, check = _strings(b, often, cover)
+                groups = Groups(name, check)
+                name, check, own = name[groups.first], check[groups.first], b.ord[b.of(starts[groups.first])]
+                out.append((-1, block, 0, len(often), pack_rising(often), None, None, 3))
+                out += [(*row[:-1], 2) for row in sent(block, name, 64, lambda lo, hi: (pack_lanes(own[lo:hi]), pack_bytes(check[lo:hi].tobytes())))]
             yield to_batch(arrow_schema(SENT), out)
 
     span = width + side
@@ -415,15 +435,23 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                     out.append((block, base, n, pack_lanes(own), None))
             yield to_batch(arrow_schema(ANSWERED), out)
 
-    contexts, kept = step(answered(answers, kept), send_contexts, "contexts")
+    def judge_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(each_row(batches)):
+            bucket = Bucket(found, [np.frombuffer(unpack_bytes(x[5], 4 * x[2]), np.uint32) for x in found])
+            ords = bucket.column(unpack_lanes(x[4], x[2], np.int64) for x in found)
+            yield bucket.answers(bucket.least_of_others(ords) < ords)
+
+    made = scratch.write(answered(answers, kept).mapInArrow(send_contexts, SENT), "contexts", "kind")
     scratch.drop("asks", "ask-answers")
-    answers = scratch.write(to_buckets(contexts).mapInArrow(judge_contexts, ANSWERED), "context-answers")
+    scratch.release()
+    answers = scratch.write(to_buckets(made.filter("kind = 0")).mapInArrow(judge_contexts, ANSWERED), "context-answers")
+    common = scratch.write(to_buckets(made.filter("kind = 2")).mapInArrow(judge_common, ANSWERED), "common-answers")
     scratch.release()
 
     # 4. all that goes
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
-        for _, ids, sizes, text, answers, n_gone, n, gone, at, mine in each_row(batches):
+        for ids, sizes, text, answers, n_gone, n, gone, at, mine, n_often, often, said in each_row(batches):
             b, gone, at = Block(ids, sizes, text), unpack_rising(gone, n_gone).astype(np.int64), unpack_rising(at, n).astype(np.int64)
             place, later = np.frombuffer(unpack_bytes(mine, 8 * n), np.uint32).reshape(2, n)
             masks = np.zeros(int(place.max()) + 1 if n else 1, dtype=np.uint32)
@@ -437,6 +465,10 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                 np.subtract.at(edge, first + length, 1)
 
             cut(gone, whole)
+            if n_often:
+                starts, name, check = _strings(b, unpack_rising(often, n_often).astype(np.int64), cover)
+                groups = Groups(name, check)
+                cut(starts[_later(b, starts, groups) | _heard(said, len(groups.first))[groups.of]], width)
             before, after = _around(b, at, cover)
             of = masks[place] if n else np.zeros(0, np.uint32)
             for off in range(cover.period):
@@ -451,6 +483,11 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
                 at += size
             yield to_batch(schema, out)
 
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("base", "n", "yes")).alias("answers"))
-    final = blocks.join(told.hint("merge"), "block", "left").join(kept.select("block", F.col("base").alias("n_gone"), "n", "keys", "facts", "more").hint("merge"), "block", "left")
-    return final.select("block", "ids", "sizes", "text", "answers", "n_gone", "n", "keys", "facts", "more").mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    def told(heard: DataFrame, name: str) -> DataFrame:
+        return heard.groupBy("block").agg(F.collect_list(F.struct("base", "n", "yes")).alias(name)).hint("merge")
+
+    kept = made.filter("kind = 1").select("block", F.col("base").alias("n_gone"), "n", "keys", "facts", "more").hint("merge")
+    often = made.filter("kind = 3").select("block", F.col("n").alias("n_often"), F.col("keys").alias("often")).hint("merge")
+    final = blocks.join(told(answers, "answers"), "block", "left").join(kept, "block", "left").join(often, "block", "left").join(told(common, "said"), "block", "left")
+    final = final.select("ids", "sizes", "text", "answers", "n_gone", "n", "keys", "facts", "more", "n_often", "often", "said")
+    return final.mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

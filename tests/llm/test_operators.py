@@ -324,6 +324,8 @@ def test_substrings_equal_brute_force(spark, sf, docs):
     got, seen = {r.doc_id: r for r in registered.queries()["op6_suffix_dedup"](spark, sf).collect()}, {}
     apart = substring_dedup(spark.read.parquet(f"{sf}/documents.parquet").repartition(9)).drop("kept")  # a block for each part
     assert {r.doc_id: r for r in apart.collect()} == got
+    often = substring_dedup(spark.read.parquet(f"{sf}/documents.parquet").repartition(3), hot=1).drop("kept")  # tuples at two places count as hot
+    assert {r.doc_id: r for r in often.collect()} == got
     for d in sorted(docs):
         body = docs[d].encode()
         off = np.zeros(len(body) + 1, bool)
@@ -350,8 +352,9 @@ def test_substrings_of_odd_rows_equal_brute_force(spark):
             off[i : i + 50] |= first[body[i : i + 50]] < d
         kept = np.frombuffer(body, np.uint8)[~off[:-1]].tobytes()
         want.append((d, len(body), int(off.sum()), int(np.count_nonzero(np.diff(off.astype(int), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()))
-    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).drop("kept").fillna(-(1 << 63), "doc_id")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    for hot in (1 << 15, 4, 0):
+        got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).drop("kept").fillna(-(1 << 63), "doc_id")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want), hot
 
 
 def test_shards_of_repeated_and_huge_rows(spark):
