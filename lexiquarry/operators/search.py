@@ -113,11 +113,10 @@ class SearchResponse:
 
 
 def search(files: DataFrame, request: SearchRequest, postings: DataFrame | None = None) -> SearchResponse:
-    """A page of results, the cursor of the next one if more remain, and all facets. One result over the page is fetched."""
-    found = matches(files, request, postings).persist()
-    try:
-        rows = [r.asDict() for r in found.orderBy(*(f(c) for f, c in ORDER)).offset(request.offset).limit(request.page_size + 1).collect()]
-        more = len(rows) > request.page_size
-        return SearchResponse(rows[: request.page_size], str(request.offset + request.page_size) if more else None, [r.asDict() for r in facets(found).collect()])
-    finally:
-        found.unpersist()
+    """A page of results, the cursor of the next one if more remain, and all facets. One result over the page is fetched.
+
+    The page and the facets each scan the files: a common query's matches are most of the corpus, too much to be kept."""
+    found = matches(files, request, postings)
+    rows = [r.asDict() for r in found.orderBy(*(f(c) for f, c in ORDER)).offset(request.offset).limit(request.page_size + 1).collect()]
+    more = len(rows) > request.page_size
+    return SearchResponse(rows[: request.page_size], str(request.offset + request.page_size) if more else None, [r.asDict() for r in facets(found).collect()])
