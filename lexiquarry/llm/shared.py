@@ -41,6 +41,7 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/lexiquarry-{uuid.uuid4().hex}"
         self.tables: dict[str, str] = {}
         path, files = self._path("")
+        files.mkdirs(path)
         files.deleteOnExit(path)
 
     def _path(self, name: str):
