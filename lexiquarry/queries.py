@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.links import parse_links, resolve_link, resolve_links
-from .functions.text import csv_set, display_name, escape_html, extension, language
+from .functions.text import csv_set, display_name, escape_html, extension, language, percent_encoded
 from .operators.search import facets, matches, page
 from .operators.store import CorpusStore, latest_changes, numbered, overlay, readable
 from .operators.trigram import candidates, index_stats, posting_lists, postings
@@ -140,7 +140,15 @@ def blank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(matches(corpus.documents(spark, sf_dir), _request("  ")))
 
 
-_SPREAD = "text_files AS (SELECT source AS repo_id, doc_id, text AS content FROM documents)"
+def invalid_utf8_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of bytes: files with an odd number get a byte that isn't UTF-8 and are left out."""
+    raw, odd = F.col("content").cast("binary"), F.regexp_extract("path", "doc([0-9]+)", 1).cast("long") % 2 == 1
+    return flat(matches(corpus.documents(spark, sf_dir).withColumn("content", F.when(odd, F.concat(raw, F.lit(bytearray(b"\xff")))).otherwise(raw)), _request("tionsh")))
+
+
+def path_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded as paths are for a push: all but letters, digits and - _ . ~ by byte."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", percent_encoded(F.concat(F.lit("a/[é] ~!'()*+"), "text"), keep="~").alias("encoded"))
 
 
 def _indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +226,9 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share, removed when the driver ends."""
     root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/lexiquarry-store-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return root
 
 
@@ -333,6 +343,8 @@ def median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "invalid_regex_empty": (invalid_regex_empty, _match_sql(_THE) + "\nSELECT * FROM found WHERE false"),
     "blank_query": (blank_query, _match_sql(_THE) + "\nSELECT * FROM found WHERE false"),
+    "invalid_utf8_skipped": (invalid_utf8_skipped, _match_sql(_request("tionsh"), where="regexp_extract(path, 'doc([0-9]+)', 1)::BIGINT % 2 = 0") + "\nSELECT * FROM found"),
+    "path_encoding": (path_encoding, "SELECT conv_id, turn, url_encode('a/[é] ~!''()*+' || text) AS encoded FROM conversations"),
     "trigram_postings": (trigram_postings, _POSTINGS_SQL + "\nSELECT repo_id, tri, count(*)::BIGINT AS n_docs, sum(doc_id)::BIGINT AS doc_sum FROM windows GROUP BY 1, 2"),
     "trigram_posting_lists": (trigram_posting_lists, _POSTINGS_SQL + "\nSELECT repo_id, tri, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM windows WHERE tri IN ('746865', '696F6E') GROUP BY 1, 2"),
     "trigram_candidates": (trigram_candidates, f"WITH files AS ({_FILES['documents']})\nSELECT repo_id, path FROM files WHERE " + " AND ".join(f"contains(lower(content), '{t}')" for t in ("tio", "ion", "ons", "nsh"))),
