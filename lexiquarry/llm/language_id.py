@@ -52,8 +52,8 @@ class Lattice:
     def __init__(self, words: list[str], automaton):
         text = "\n".join([" " + w for w in words])
         size = np.array([len(w) + 1 for w in words])
-        self.first = np.cumsum(size + 1) - size - 1
-        self.last, self.places = self.first + size, len(text) + 2
+        self.first = (np.cumsum(size + 1) - size - 1).astype(np.int32)
+        self.last, self.places = (self.first + size).astype(np.int32), len(text) + 2
         found = np.fromiter(itertools.chain.from_iterable((e, n, k) for e, (n, k) in automaton.iter(text)), dtype=np.int32).reshape(-1, 3)
         end, length, piece = found[:, 0] + 1, found[:, 1], found[:, 2]
         bare = np.ones(self.places, dtype=bool)  # ends of characters without a piece of their own
@@ -151,7 +151,7 @@ class PieceModel:
         return {k: v for k, v in self.__dict__.items() if k not in ("prob", "automaton")}
 
 
-def train(words: list[str], counts: np.ndarray, langs: list[str], vocabulary: dict[str, int], rounds: int = 3, smooth: float = 0.05, chunk: int = 20_000) -> PieceModel:
+def train(words: list[str], counts: np.ndarray, langs: list[str], vocabulary: dict[str, int], rounds: int = 3, smooth: float = 0.05, chunk: int = 4000) -> PieceModel:
     """Expectation maximisation of each language's piece probabilities on words counted by language.
 
     Places are scaled by a constant a letter, which leaves the posteriors as they are. A word so long that its sums
@@ -161,7 +161,8 @@ def train(words: list[str], counts: np.ndarray, langs: list[str], vocabulary: di
     size, n_langs = len(vocabulary), len(langs)
     model = PieceModel(vocabulary, langs, np.zeros((size, n_langs)), np.zeros(n_langs), max(1, len(set("".join(words)))))
     parts = [(w[k : k + 64], i) for i, w in enumerate(words) for k in range(0, len(w), 64)]
-    lattices = [(Lattice([w for w, _ in parts[at : at + chunk]], model.automaton), counts[[i for _, i in parts[at : at + chunk]]]) for at in range(0, len(parts), chunk)]
+    lattices = [(Lattice([w for w, _ in parts[at : at + chunk]], model.automaton), np.array([i for _, i in parts[at : at + chunk]], dtype=np.int32)) for at in range(0, len(parts), chunk)]
+    del parts
     length = np.array([len(p) for p in sorted(vocabulary, key=vocabulary.get)] + [1])
     prior = np.power(1.0 / (model.letters + 1), length)  # of pieces never seen: no likelier than letters drawn evenly
     prior[-1] *= 0.01
@@ -171,8 +172,8 @@ def train(words: list[str], counts: np.ndarray, langs: list[str], vocabulary: di
     prob = np.repeat((prob / prob.sum())[:, None], n_langs, axis=1)
     for _ in range(rounds):
         expected, scaled = np.repeat(prior[:, None], n_langs, axis=1), prob * np.power(8.0, length)[:, None]
-        for lattice, n in lattices:
-            p = scaled[lattice.piece]
+        for lattice, at in lattices:
+            p, n = scaled[lattice.piece], counts[at]
             forward, backward = lattice.forward(p), lattice.backward(p)
             whole = np.divide(n, forward[lattice.last], out=np.zeros(n.shape), where=n > 0)
             share = forward[lattice.start] * p * backward[lattice.end] * whole[lattice.word[lattice.end - 1]]
