@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts and texts without letters go; so does all text if no row is labelled. Repeated rows and
     ties stay or go together; an empty table gives an empty one; other columns pass through, whatever their names."""
-    model, names = fit(docs, _vocabulary("piece_bpe_32k.model")), [f"`{c}`" for c in docs.columns]
-    tagged = identify(docs.select(F.struct(*names).alias("row"), "text"), model)
-    return tagged.filter("lang_pred <> 'und' and lift > 0").select("row.*")
+    model, names = fit(docs, _vocabulary("piece_bpe_32k.model")), [f"__lq_{k}" for k in range(len(docs.columns))]
+    tagged = identify(docs.toDF(*names), model, names[docs.columns.index("text")])  # each text goes through Python once
+    return tagged.filter("lang_pred <> 'und' and lift > 0").select(*names).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

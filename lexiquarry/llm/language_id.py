@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: PieceModel, text_col: str = "text", cache_w
         cache, even = _CACHE.setdefault(key, {}), math.log(model.letters + 1)  # the word mark counts as a letter
         for batch in batches:
             preds, scores, lifts = [], [], []
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at_text)
             for at in range(0, len(texts), 128):
                 found = [words_of(t.as_py()) if t.is_valid and model.langs else ([], 0) for t in texts[at : at + 128]]
                 new = list(set().union(*(w for w, _ in found)).difference(cache))
@@ -253,12 +253,14 @@ def identify(docs: DataFrame, model: PieceModel, text_col: str = "text", cache_w
                     best = int(total.argmax())
                     preds.append(model.langs[best]), scores.append(float(1.0 / np.exp(total - total[best]).sum()))
                     lifts.append(float(total[best]) / (len(words) + letters) + even)
-            columns = [*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(lifts, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "lift"])
+            columns = [*batch.columns[: len(names)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(lifts, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(names)], "lang_pred", "score", "lift"])
 
     kept = docs.select(*names)
-    fields = kept.schema.add("lang_pred", "string").add("score", "double").add("lift", "double")
-    return kept.select("*", F.col(f"`{text_col}`").alias("__lq_text")).mapInArrow(tag, fields)
+    at_text = kept.columns.index(text_col) if text_col in kept.columns else len(names)  # a text among the columns is sent once
+    fields = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("lift", "double")
+    sent = kept if at_text < len(names) else docs.select(*names, F.col(f"`{text_col}`").alias("__lq_text"))
+    return sent.mapInArrow(tag, fields)
 
 
 def training_row(id_col: str = "doc_id", modulus: int = 4, held_out: int = 2) -> Column:

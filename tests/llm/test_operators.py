@@ -530,3 +530,16 @@ def test_pipeline(spark, sf, docs):
     assert set(pieces.doc_id) == set(docs) and pieces.groupby("sequence_id").length.sum().max() <= 4096
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < out.doc_id.nunique() < len(docs) and out.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_language_stage_sends_texts_once(spark):
+    """Python gets the table's own columns, each once; names that the operator uses itself pass through."""
+    rows = [(i, "the words of this text are plain", "en", 0.5) for i in range(20)] + [(20, None, "en", 0.5), (21, "123", "en", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred double")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    plan = out._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert node.children().head().output().size() == 4
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[:20]
