@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, join_facts
 
 # Groups of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +44,8 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 
 
-#: So many contents stand for a host's different pages; texts of a slot that are followed; elements below this depth
-#: are aligned as if they stood at it.
-SAMPLE, TEXTS, DEEP = 64, 64, 200
+#: Elements below this depth are aligned as if they stood at it.
+DEEP = 200
 
 
 class Node:
@@ -151,9 +150,9 @@ def parse(page: str) -> Node:
 @dataclass
 class Slot:
     """A template node: children in order; on how many pages it stands, characters of text and of linked text
-    over all pages. Neighbours with one key share a slot; their texts are told apart: for each text its checksum and
-    the least SAMPLE hashes of the contents of the pages that have it in this slot (`texts`; the root's `seen` holds the
-    same of all pages). Once settled, the texts are those that are template, and `varies` is the share of others."""
+    over all pages. Neighbours with one key share a slot; their texts are told apart. `texts` of a page's slot are the
+    checksums of its texts there, those of a settled template's slot the ones that are template, and `varies` is the
+    share of others. The root's `content` stands for what the page says."""
 
     key: str
     children: list = field(default_factory=list)
@@ -161,7 +160,7 @@ class Slot:
     chars: int = 0
     linked: int = 0
     texts: dict = field(default_factory=dict)
-    seen: tuple = ()
+    content: int = 0
     varies: float = 1.0
     label: bool = False
 
@@ -190,17 +189,19 @@ def skeleton(node: Node) -> Slot:
             for c in s.children:
                 read(c)
 
-    def put(s: Slot) -> None:
-        s.texts = dict.fromkeys(s.texts, own.seen)
-        for c in s.children:
-            put(c)
-
     read(own)
-    own.seen = (int.from_bytes(content.digest(), "little"),)
-    put(own)
+    own.content = int.from_bytes(content.digest(), "little", signed=True)
     return own
 
 
+def bare(slot: Slot) -> Slot:
+    """The slot without its texts, for a template."""
+    slot.texts, slot.content = {}, 0
+    for c in slot.children:
+        bare(c)
+    return slot
+
+
 def _runs(nodes: list[Node]) -> list[list[Node]]:
     """The child nodes of all nodes, dealt to slots: neighbours with the same key share one, and the nodes' runs
     are aligned in order with one another. A child that finds no slot after its neighbour's gets one there."""
@@ -265,25 +266,10 @@ def weight(x: Slot, y: Slot, known: dict) -> int:
     return known[at]
 
 
-def _union(a: tuple, b: tuple) -> tuple:
-    if a == b or len(a) == SAMPLE and b and b[0] >= a[-1]:
-        return a
-    return tuple(sorted({*a, *b})[:SAMPLE])
-
-
-def _texts(a: dict, b: dict) -> dict:
-    """b's texts added to a's. Of too many, those on the fewest contents go: these are what varies."""
-    for t, seen in b.items():
-        a[t] = _union(a[t], seen) if t in a else seen
-    if len(a) > 2 * TEXTS:
-        a = dict(sorted(a.items(), key=lambda x: (-len(x[1]), x[0]))[:TEXTS])
-    return a
-
-
 def merge(a: Slot, b: Slot, known: dict | None = None) -> Slot:
     """Both templates aligned: matched slots become one, the others are kept in order."""
     known = {} if known is None else known
-    out = Slot(a.key, [], a.pages + b.pages, a.chars + b.chars, a.linked + b.linked, _texts(a.texts, b.texts), _union(a.seen, b.seen))
+    out = Slot(a.key, [], a.pages + b.pages, a.chars + b.chars, a.linked + b.linked)
     i = j = 0
     for p, q in [*matching(a.children, b.children, known), (len(a.children), len(b.children))]:
         out.children += a.children[i:p] + b.children[j:q]
@@ -348,20 +334,25 @@ def label(page: Slot) -> Slot:
     return page
 
 
-def settle(template: Slot, share: float = 0.6) -> Slot:
-    """Keeps of each slot's texts those that are template: on a fair share of the host's different contents, of which
-    one more is taken to lack them, so that a single page has no template."""
-    of_host = frozenset(template.seen)
-    least = share * (len(of_host) + 1)
+def slots(template: Slot) -> list[Slot]:
+    """A template's slots, which are numbered in this order."""
+    return [template, *(s for c in template.children for s in slots(c))]
 
-    def put(s: Slot) -> None:  # below the greatest of the host's sample, a text's own is whole
-        found = [t for t, seen in s.texts.items() if len(seen) >= least and len(of_host.intersection(seen)) >= least]
-        s.varies = 1 - len(found) / len(s.texts) if s.texts else 1.0
-        s.texts, s.seen = dict.fromkeys(found), ()
-        for c in s.children:
-            put(c)
 
-    put(template)
+def places(page: Slot, template: Slot | None, numbers: dict[int, int], known: dict) -> list[int]:
+    """By the page's slots the numbers of the template's slots that they match; -1 without one."""
+    matched = dict(matching(page.children, template.children, known)) if template else {}
+    out = [numbers[id(template)] if template else -1]
+    for i, c in enumerate(page.children):
+        out += places(c, template.children[matched[i]] if i in matched else None, numbers, known)
+    return out
+
+
+def settle(template: Slot, figures: dict[int, tuple[int, list[int]]]) -> Slot:
+    """Gives each slot the texts that are template. figures: by slot how many different texts it has, and these."""
+    for k, s in enumerate(slots(template)):
+        n, found = figures.get(k, (0, []))
+        s.texts, s.varies = dict.fromkeys(found), 1 - len(found) / n if n else 1.0
     return template
 
 
@@ -460,7 +451,7 @@ def _induce(pages: DataFrame, salts: int) -> DataFrame:
 
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                own = skeleton(parse(page.as_py() or ""))
+                own = bare(skeleton(parse(page.as_py() or "")))
                 same, at = held.setdefault(host, {}), shape(own)
                 if at in same:
                     add(same[at], own)
@@ -474,29 +465,75 @@ def _induce(pages: DataFrame, salts: int) -> DataFrame:
         if held:
             yield out()
 
-    def merged(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, key = None, None
         for batch in batches:
             key = key or [batch.column(0)[0].as_py()]
             for t in batch.column("template").to_pylist():
                 made = pickle.loads(t) if made is None else merge(made, pickle.loads(t))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array([pickle.dumps(settle(made) if last else made)], pa.binary())], names=["host", "template"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from merged(batches, False)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from merged(batches, True)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array([pickle.dumps(made)], pa.binary())], names=["host", "template"])
 
     parts = pages.mapInArrow(partial, "host string, template binary").withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(salts)))
     salted = parts.groupBy("host", "salt").applyInArrow(joined, "host string, template binary")
-    return salted.groupBy("host").applyInArrow(whole, "host string, template binary")
+    return salted.groupBy("host").applyInArrow(joined, "host string, template binary")
+
+
+def _settled(rows: DataFrame, templates: DataFrame, max_broadcast: int, share: float = 0.6) -> DataFrame:
+    """(host, template), settled: a slot's text is template if it stands there on a fair share of the host's different
+    contents, of which one more is taken to lack it, so that a single page has no template. Every content and every
+    text of every slot is counted; the counts meet by host, slot and text."""
+    rows, shared = _with_templates(rows, templates, max_broadcast)
+
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[Slot, dict, dict]] = {}
+        for batch in batches:
+            seen: set[tuple] = set()
+            for page, host, own in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("template")):
+                if host not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    template = pickle.loads(shared.value[host] if shared else own.as_py())
+                    known[host] = template, {id(s): k for k, s in enumerate(slots(template))}, {}
+                template, numbers, cache = known[host]
+                own = skeleton(parse(page.as_py() or ""))
+                if (at := shape(own)) not in cache:
+                    if len(cache) > 5000:
+                        cache.clear()
+                    cache[at] = places(own, template, numbers, {})
+                seen.add((host, -1, 0, own.content))
+                seen.update((host, k, t, own.content) for k, s in zip(cache[at], slots(own)) if k >= 0 for t in s.texts)
+            columns = list(zip(*seen)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "slot", "text", "content"])
+
+    counts = rows.mapInArrow(spot, "host string, slot int, text long, content long").groupBy("host", "slot", "text").agg(F.count_distinct("content").alias("n"))
+    scratch = Scratch(rows.sparkSession)
+    counts = scratch.write(counts, "counts")
+    totals = scratch.write(counts.groupBy("host").agg(F.max(F.when(F.col("slot") < 0, F.col("n"))).alias("of"), F.count("*").alias("rows")), "totals")
+    n_rows = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    fixed = F.collect_list(F.when(F.col("n") >= share * (F.col("of") + 1), F.col("text")))
+    figures = join_facts(counts.filter("slot >= 0"), totals, ["host"], "rows", n_rows).groupBy("host", "slot").agg(F.count("*").alias("n"), fixed.alias("fixed"))
+    figures = figures.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "fixed")).alias("figures"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pickle.dumps(settle(pickle.loads(t), {x["slot"]: (x["n"], x["fixed"]) for x in f or ()})) for t, f in zip(batch.column("template").to_pylist(), batch.column("figures").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.binary())], names=["host", "template"])
+
+    return templates.join(figures, "host", "left").mapInArrow(put, "host string, template binary")
+
+
+def _with_templates(rows: DataFrame, templates: DataFrame, max_broadcast: int):
+    """The rows with their host's template, or with null and a broadcast of all templates if these are small."""
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("template")), F.lit(0))).first()[0]
+    if size > max_broadcast:
+        return rows.join(templates.hint("merge"), "host").select(*rows.columns, "template"), None
+    shared = rows.sparkSession.sparkContext.broadcast({r.host: bytes(r.template) for r in templates.collect()})
+    return rows.withColumn("template", F.lit(None).cast("binary")), shared
 
 
 def add(a: Slot, b: Slot) -> None:
     """b's figures added to a, which has the same shape."""
     a.pages, a.chars, a.linked = a.pages + b.pages, a.chars + b.chars, a.linked + b.linked
-    a.seen, a.texts = _union(a.seen, b.seen), _texts(a.texts, b.texts)
     for x, y in zip(a.children, b.children):
         add(x, y)
 
@@ -508,20 +545,15 @@ def extract_pages(pages: DataFrame, salts: int = 64, max_broadcast: int = 32 <<
     own; repeated rows give repeated results; an empty table an empty one. Other columns are ignored.
 
     Templates are induced from all pages of a host, pre-merged in each task, so that a hot host's pages never
-    meet in one task. The templates are broadcast if they take max_broadcast bytes at most, and are joined to the
+    meet in one task; a second pass counts each slot's texts against all of the host's different contents. The templates are broadcast if they take max_broadcast bytes at most, and are joined to the
     pages by host otherwise. Which part is the article is decided for each layout of a host's pages."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
     host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.lower(host).alias("host"))
     templates = scratch.write(_induce(rows.select("host", "html"), salts), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.octet_length("template")), F.lit(0))).first()[0]
-    shared = None
-    if size <= max_broadcast:
-        shared = spark.sparkContext.broadcast({r.host: bytes(r.template) for r in templates.collect()})
-        rows = rows.withColumn("template", F.lit(None).cast("binary"))
-    else:
-        rows = rows.join(templates.hint("merge"), "host").select("page_id", "url", "html", "host", "template")
+    templates = scratch.write(_settled(rows.select("host", "html"), templates, max_broadcast), "settled")
+    rows, shared = _with_templates(rows, templates, max_broadcast)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[Slot, dict]] = {}

@@ -543,3 +543,14 @@ def test_language_stage_sends_texts_once(spark):
         node = node.children().head()
     assert node.children().head().output().size() == 4
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[:20]
+
+
+def test_html_template_texts_counted_whole(spark):
+    """More template texts in a slot than any fixed number, on a host with more contents than any sample; and a text
+    on a bit under the share of the contents, which a sample of them may take for template."""
+    notes = "".join(f"<li>house rule {k} of this site</li>" for k in range(150))
+    body = lambda i: "".join(f"<p>page {i} says sentence {i * 7 + k} here in its own words and goes on</p>" for k in range(150))
+    near = lambda i: "<blockquote>now and then</blockquote>" if i % 100 < 57 else f"<blockquote>quote {i}</blockquote>"
+    rows = [(i, "http://h/x", f"<article>{body(i)}{near(i)}<ul>{notes}</ul></article>") for i in range(200)]
+    for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect():
+        assert "house rule" not in r.text and ("now and then" in r.text) == (r.page_id % 100 < 57) and r.text.count("says sentence") == 150
